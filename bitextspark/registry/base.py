@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
-SECTIONS = ("rows", "tasks")
+SECTIONS = ("rows", "tasks", "bilingual", "vocabulary", "batches", "sources")
 
 
 def view(name: str, sql: str, *needs: str) -> None:

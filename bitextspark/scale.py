@@ -135,38 +135,46 @@ def lookup_tokens(
     value: str,
     default: Column | None,
     small: bool,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Map every element of the array columns through `table(on -> value)`.
 
-    `keys[0]` identifies a row. `arrays` maps output name -> input array column.
-    With `small` (a measured broadcast table) the rows are placed by `keys[0]`
-    first, the tokens are looked up map-side and regrouped without moving them
-    again; otherwise the tokens go through a shuffle join that AQE may split on
-    hot tokens. `default=None` keeps the token itself.
+    `keys` identify a row (the first one places it). `arrays` maps output name ->
+    input array column; `carry` columns pass through. With `small` (a table measured
+    by `small_enough`) rows are placed once, tokens are looked up map-side and
+    regrouped in place, so only rows are shuffled. Otherwise the tokens go through a
+    shuffle join, whose hot keys AQE splits, and the carried columns are joined back.
+    `default=None` keeps the element itself.
     """
     names = list(arrays)
-    parts = [
-        F.transform(F.col(arrays[n]), lambda x, i, s=s: F.struct(F.lit(s).alias("s"), i.alias("i"), x.alias("x")))
-        for s, n in enumerate(names)
-    ]
+
+    def cells(s: int, name: str) -> Column:
+        return F.transform(
+            F.col(arrays[name]), lambda x, i: F.struct(F.lit(s).alias("s"), i.alias("i"), x.alias("x"))
+        )
+
+    def found_values(s: int) -> Column:
+        return F.transform(F.filter("__cells", lambda c: c["s"] == s), lambda c: c["v"])
+
+    parts = [cells(s, n) for s, n in enumerate(names)]
+    kept = list(carry) if small else []
     source = df.repartition(*keys[:1]) if small else df
-    exploded = source.select(*keys, F.explode_outer(F.concat(*parts)).alias("__e"))
+    exploded = source.select(*keys, *kept, F.explode_outer(F.concat(*parts)).alias("__e"))
+    entries = table.select(F.col(on).alias("__on"), F.col(value).alias("__value"))
     found = exploded.join(
-        (F.broadcast(table) if small else table).select(F.col(on).alias("__on"), F.col(value).alias("__value")),
-        F.col("__e.x") == F.col("__on"),
-        "left",
+        F.broadcast(entries) if small else entries, F.col("__e.x") == F.col("__on"), "left"
     )
     fallback = F.col("__e.x") if default is None else default
     cell = F.struct(
         F.col("__e.s").alias("s"), F.col("__e.i").alias("i"), F.coalesce("__value", fallback).alias("v")
     )
     grouped = found.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("__e").isNotNull(), cell))).alias("__cells")
+        F.sort_array(F.collect_list(F.when(F.col("__e").isNotNull(), cell))).alias("__cells"),
+        *[F.any_value(c).alias(c) for c in kept],
     )
-    return grouped.select(
+    out = grouped.select(
         *keys,
-        *[
-            F.transform(F.filter("__cells", lambda c, s=s: c["s"] == s), lambda c: c["v"]).alias(n)
-            for s, n in enumerate(names)
-        ],
+        *kept,
+        *[found_values(s).alias(n) for s, n in enumerate(names)],
     )
+    return out if small or not carry else out.join(df.select(*keys, *carry), list(keys))
