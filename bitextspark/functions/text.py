@@ -157,7 +157,5 @@ def looks_numeric(text: Column) -> Column:
 
 def render_scores(words: Column, scores: Column, digits: int = 2) -> Column:
     """`word(0.53) word(0.40)` from two parallel arrays."""
-    cells = F.zip_with(
-        words, scores, lambda w, s: F.concat(w, F.lit("("), F.format_number(s, digits), F.lit(")"))
-    )
-    return F.array_join(cells, " ")
+    pattern = f"%s(%.{digits}f)"
+    return F.array_join(F.zip_with(words, scores, lambda w, s: F.format_string(pattern, w, s)), " ")

@@ -57,6 +57,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(4 * wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
 
 
+def place(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows by `keys` into the configured number of shuffle partitions.
+
+    For stages that do much work per byte: with an explicit number AQE does not merge
+    the partitions by size. Later groupings by these keys and more need no shuffle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def small_enough(df: DataFrame, text_cols: Sequence[str] = (), max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measured size check before a broadcast: rows and text bytes of `df`."""
     size = F.count(F.lit(1)) * (32 + 8 * len(df.columns))
@@ -158,7 +169,7 @@ def lookup_tokens(
 
     parts = [cells(s, n) for s, n in enumerate(names)]
     kept = list(carry) if small else []
-    source = df.repartition(*keys[:1]) if small else df
+    source = place(df, keys[0]) if small else df
     exploded = source.select(*keys, *kept, F.explode_outer(F.concat(*parts)).alias("__e"))
     entries = table.select(F.col(on).alias("__on"), F.col(value).alias("__value"))
     found = exploded.join(
