@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from bitextspark.config import DEFAULT_SEED, NULL_WORD, SENTENCE_BREAK
 from bitextspark.functions import sampling as sm
 from bitextspark.functions import text as tx
-from bitextspark.scale import global_rank, lookup_tokens, materialise, small_enough
+from bitextspark.functions.arrays import let
+from bitextspark.scale import global_rank, lookup_tokens, small_enough
 
 LINKS = "array<struct<s:int,t:int>>"
 
@@ -119,13 +120,18 @@ def without_null(lexicon: DataFrame) -> DataFrame:
     return lexicon.where((F.col("src") != NULL_WORD) & (F.col("tgt") != NULL_WORD))
 
 
-def best_translations(lexicon: DataFrame, row_no: str = "row_no") -> DataFrame:
+def best_translations(lexicon: DataFrame, row_no: str | None = "row_no") -> DataFrame:
     """src -> most probable tgt, `NULL` excluded.
 
     A repeated pair keeps its last probability; equal probabilities go to the pair
-    that came first.
+    that came first. A computed lexicon has no rows in order and no repeated pairs:
+    with `row_no=None` ties go to the smallest tgt in a single aggregation.
     """
-    last = without_null(lexicon).groupBy("src", "tgt").agg(
+    entries = without_null(lexicon)
+    if row_no is None:
+        best = F.min(F.struct((-F.col("prob")).alias("k"), F.col("tgt").alias("tgt")))
+        return entries.groupBy("src").agg(best.alias("b")).select("src", "b.tgt", (-F.col("b.k")).alias("prob"))
+    last = entries.groupBy("src", "tgt").agg(
         F.min(row_no).alias("first_row"), F.max_by("prob", row_no).alias("prob")
     )
     return last.groupBy("src").agg(
@@ -159,7 +165,7 @@ class Ranked:
     whether they may broadcast it."""
 
     def __init__(self, df: DataFrame, order: str, text_cols: list[str]):
-        self.df = materialise(global_rank(df, [order], "rank"))
+        self.df = global_rank(df, [order], "rank")
         self.size = self.df.count()
         self.small = small_enough(self.df, text_cols)
         if self.size == 0:
@@ -177,7 +183,7 @@ def rank_vocabulary(words: DataFrame) -> Ranked:
 def _ranks(task: str, seed: int, epoch: int, n: Column, size: int) -> Column:
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(task), F.lit(epoch), F.col("pair_id"), F.lit("draw")))
     steps = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda k: sm.draw_rank(digest, k, size))
+    return let(digest, lambda d: F.transform(steps, lambda k: sm.draw_rank(d, k, size)))
 
 
 def _hash_first(items: Column, n: Column, task: str, seed: int, epoch: int) -> Column:
@@ -196,9 +202,12 @@ def _overwrite(toks: Column, spots: Column, side: str, words: Column, field: str
         words,
         lambda p, w: F.struct((p[side] if side else p).alias("p"), (w[field] if field else w).alias("w")),
     )
-    return F.transform(
-        toks,
-        lambda x, i: F.coalesce(F.try_element_at(F.filter(plan, lambda r: r["p"] == i), F.lit(-1))["w"], x),
+    return let(
+        plan,
+        lambda rows: F.transform(
+            toks,
+            lambda x, i: F.coalesce(F.try_element_at(F.filter(rows, lambda r: r["p"] == i), F.lit(-1))["w"], x),
+        ),
     )
 
 
@@ -304,7 +313,7 @@ def monotone_target(tgt_tok: Column, links: Column) -> Column:
         )
         return F.transform(F.sort_array(rows), lambda r: r["x"])
 
-    return F.get(F.transform(F.array(codes), place), F.lit(0))
+    return let(codes, place)
 
 
 def reassemble_units(units: DataFrame) -> DataFrame:

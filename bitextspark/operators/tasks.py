@@ -22,6 +22,7 @@ from bitextspark.config import (
 )
 from bitextspark.functions import sampling as sm
 from bitextspark.functions import text as tx
+from bitextspark.functions.arrays import let
 
 
 @dataclass(frozen=True)
@@ -71,24 +72,19 @@ def shuffle(toks: Column, draw: Draw) -> Column:
     return F.transform(F.sort_array(rows), lambda r: r["x"])
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once per row and use it several times in `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def mask_words(toks: Column, draw: Draw) -> Column:
     """Exactly floor(n * alpha) distinct positions become the mask symbol."""
 
     def apply(keys: Column) -> Column:
         last = F.get(F.sort_array(keys), sm.share(F.size(keys), draw.alpha) - 1)
-        return _let(
+        return let(
             F.struct(keys.alias("k"), last.alias("last")),
             lambda s: F.transform(
                 toks, lambda x, i: F.when(F.get(s["k"], i) <= s["last"], F.lit(MASK)).otherwise(x)
             ),
         )
 
-    return _let(draw.keys(toks), apply)
+    return let(draw.keys(toks), apply)
 
 
 def swap_words(toks: Column, draw: Draw) -> Column:
@@ -122,7 +118,7 @@ def swap_words(toks: Column, draw: Draw) -> Column:
 
     key = lambda i: sm.sample_key(draw.seed, draw.task, draw.epoch, draw.pair_id, i)
     order = F.sort_array(F.transform(toks, lambda _, i: F.struct(key(i).alias("k"), i.alias("i"))))
-    return _let(order, apply)
+    return let(order, apply)
 
 
 # name -> column transform of the target tokens

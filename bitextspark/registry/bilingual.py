@@ -267,7 +267,7 @@ view(
 )
 def _(spark, sf):
     pairs = linked(spark, sf)
-    entries = bl.rank_lexicon(bl.best_translations(numbered_lexicon(spark, sf)))
+    entries = bl.rank_lexicon(bl.best_translations(lexicon(spark, sf), row_no=None))
     made = bl.replace_words(pairs, entries, 0.3)
     return made.select("pair_id", tx.join_tokens(F.col("src_tok")).alias("src"), tx.join_tokens(F.col("tgt_tok")).alias("tgt"))
 
