@@ -11,7 +11,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
-SECTIONS = ("rows", "tasks", "bilingual", "vocabulary", "batches", "sources", "evaluation", "text", "iterative")
+SECTIONS = (
+    "rows", "tasks", "bilingual", "vocabulary", "batches", "sources", "evaluation", "text", "iterative", "stateful",
+)
 
 
 def view(name: str, sql: str, *needs: str) -> None:

@@ -20,10 +20,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
+def pairs_of(documents: DataFrame) -> DataFrame:
     """Consecutive lines of each document as a pseudo-bitext."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
-    docs = docs.select("doc_id", "lang", F.split("text", "\n").alias("ls")).where(F.size("ls") > 1)
+    docs = documents.select("doc_id", "lang", F.split("text", "\n").alias("ls")).where(F.size("ls") > 1)
     both = F.arrays_zip(
         F.slice("ls", F.lit(1), F.size("ls") - 1).alias("src"),
         F.slice("ls", F.lit(2), F.size("ls") - 1).alias("tgt"),
@@ -36,6 +35,10 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs_of(spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id"))
+
+
 def clean(spark: SparkSession, sf: str, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     """Cleaned pairs with token arrays."""
     return clean_pairs(pairs(spark, sf), cfg)
