@@ -8,10 +8,11 @@ from bitextspark.config import RESAMPLED_TASKS, TaskSpec
 from bitextspark.functions import text as tx
 from bitextspark.operators import mixture as mx
 from bitextspark.operators import tasks as tk
-from bitextspark.plans.corpus import task_statistics
+from bitextspark.plans.corpus import CorpusBuild, CorpusConfig, task_statistics
 from bitextspark.registry import inputs as inp
 from bitextspark.registry.base import query
 from bitextspark.registry.rows import MASKED
+from bitextspark.scale import scratch_path
 
 
 def one_task(spark, sf, name, alpha=None):
@@ -224,3 +225,17 @@ def _(spark, sf):
 @query("agg23_loss_per_size", f"SELECT task, round(sum(loss)/sum(size), 6) AS loss_per_unit FROM ({LOSSES}) GROUP BY task")
 def _(spark, sf):
     return mx.loss_per_size(losses(spark, sf), ["task"])
+
+
+@query("corpus_build")
+def _(spark, sf):
+    """Every stage from raw pairs to encoded versions; counts per task and epoch."""
+    specs = (TaskSpec("rev"), TaskSpec("wrdp", 0.3), TaskSpec("replace", 0.3), TaskSpec("mono"))
+    cfg = CorpusConfig("en", "fr", specs, epochs=2, n_merges=30, em_rounds=1)
+    build = CorpusBuild(spark, inp.pairs(spark, sf).select("pair_id", "src", "tgt"), cfg, scratch_path(spark, "build"))
+    ids = build.encoded()
+    return ids.groupBy("task", "epoch").agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.sum(F.size("src_ids").cast("bigint")).alias("src_tokens"),
+        F.sum(F.size("tgt_ids").cast("bigint")).alias("tgt_tokens"),
+    )
