@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bitextspark.config import DEFAULT_SEED, EOS_ID, PAD_ID
 from bitextspark.functions import ids as fi
-from bitextspark.scale import broadcast_if_small, global_rank, hashed_group_rank
+from bitextspark.scale import broadcast_if_small, global_rank, hashed_group_rank, materialise
 
 
 def shuffle_key(seed: int, key: Column) -> Column:
@@ -54,7 +54,7 @@ def bucket_table(df: DataFrame, size: Column, n_buckets: int) -> DataFrame:
 def assign_buckets(df: DataFrame, src: str, tgt: str, n_buckets: int) -> DataFrame:
     """Add `src_bucket`, `tgt_bucket`: padded lengths by side."""
     for side, ids in (("src", src), ("tgt", tgt)):
-        table = bucket_table(df, F.size(ids), n_buckets).select(
+        table = materialise(bucket_table(df, F.size(ids), n_buckets)).select(
             F.col("size").alias(f"__{side}"), F.col("bucket").alias(f"{side}_bucket")
         )
         df = df.join(broadcast_if_small(table), F.size(ids) == F.col(f"__{side}")).drop(f"__{side}")

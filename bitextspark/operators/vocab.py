@@ -38,9 +38,9 @@ def build_vocabulary(counts: DataFrame, threshold: int = 1, n_words: int | None
     """
     spark = counts.sparkSession
     kept = with_threshold(counts, threshold).where(~F.col("symbol").isin(*SPECIALS))
-    if n_words is not None:
-        kept = top_words(kept, n_words)
     ranked = global_rank(kept, [F.desc("count"), "symbol"], "rank")
+    if n_words is not None:
+        ranked = ranked.where(F.col("rank") < n_words)
     words = ranked.select((F.col("rank") + len(SPECIALS)).cast("int").alias("id"), "symbol", "count")
     heads = spark.createDataFrame([(i, s, 0) for i, s in enumerate(SPECIALS)], "id int, symbol string, count bigint")
     out = heads.unionByName(words)

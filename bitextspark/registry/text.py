@@ -8,6 +8,7 @@ from bitextspark.functions import text as tx
 from bitextspark.operators import truecase as tc
 from bitextspark.registry import inputs as inp
 from bitextspark.registry.base import query, view
+from bitextspark.scale import materialise
 
 
 def _sql_rules(expr, rules):
@@ -114,7 +115,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     w = words(spark, sf)
-    cased = tc.apply_truecase(w, tc.learn_truecase(w, "w"), "w")
+    cased = tc.apply_truecase(w, materialise(tc.learn_truecase(w, "w")), "w")
     return cased.where(F.size("w") > 0).select("pair_id", tx.join_tokens(F.col("w")).alias("src"))
 
 
@@ -127,7 +128,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     w = words(spark, sf)
-    cased = tc.apply_truecase(w, tc.learn_truecase(w, "w"), "w").withColumnRenamed("w", "best")
+    cased = tc.apply_truecase(w, materialise(tc.learn_truecase(w, "w")), "w").withColumnRenamed("w", "best")
     both = w.join(cased, "pair_id").select("pair_id", F.posexplode(F.arrays_zip("w", "best")).alias("pos", "z"))
     return both.where("z.w <> z.best").select(
         "pair_id", F.col("pos").cast("bigint").alias("pos"), F.col("z.w").alias("word"), F.col("z.best").alias("best")

@@ -113,13 +113,14 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], out: str) -> DataF
 
 
 def hashed_group_rank(
-    df: DataFrame, group: Sequence[str], digest: str, tie: Sequence[str], out: str, hex_digits: int = 2
+    df: DataFrame, group: Sequence[str], digest: str, tie: Sequence[str], out: str, hex_digits: int = 4
 ) -> DataFrame:
     """Add `out`: 0-based row number per `group` in the order (`digest`, `tie`).
 
     `digest` holds uniform hex keys, so its first digits cut even a huge group
     into even slices; each slice is ranked on its own and shifted by the sizes of
-    the slices before it (at most 16**hex_digits rows per group).
+    the slices before it (at most 16**hex_digits rows per group). Four digits keep a
+    group of 10^12 rows at some 10^7 rows per slice.
     """
     sliced = df.withColumn("__slice", F.substring(digest, 1, hex_digits))
     local = F.row_number().over(W.partitionBy(*group, "__slice").orderBy(digest, *tie)) - 1

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bitextspark.functions import text as tx
-from bitextspark.scale import broadcast_if_small
+from bitextspark.scale import broadcast_if_small, materialise
 
 
 def read_numbered_lines(spark: SparkSession, path: str | Sequence[str], name: str = "value") -> DataFrame:
@@ -17,7 +17,8 @@ def read_numbered_lines(spark: SparkSession, path: str | Sequence[str], name: st
 
     Each row knows its file, the block it was read from and its place in the task, so
     only one offset per block is needed: a count per block and a running sum over
-    blocks. Blank lines count; compressed files are one block each.
+    blocks (some 10^6 rows for 100 TB). Blank lines count; compressed files are one
+    block each.
     """
     raw = spark.read.text(path if isinstance(path, str) else list(path)).select(
         F.col("value").alias(name),
@@ -26,7 +27,7 @@ def read_numbered_lines(spark: SparkSession, path: str | Sequence[str], name: st
         F.monotonically_increasing_id().alias("__row"),
     )
     before = W.orderBy("__file", "__block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (
+    blocks = materialise(
         raw.groupBy("__file", "__block")
         .agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
         .select("__file", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
