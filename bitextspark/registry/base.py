@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
+_SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 SECTIONS = (
     "rows", "tasks", "bilingual", "vocabulary", "batches", "sources", "evaluation", "text", "iterative", "stateful",
@@ -43,7 +44,7 @@ def query(name: str, sql: str | None = None, *needs: str):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = compose(sql, needs)
+            _SQL[name] = (sql, needs)
         return fn
 
     return register
@@ -52,3 +53,4 @@ def query(name: str, sql: str | None = None, *needs: str):
 def load_all() -> None:
     for section in SECTIONS:
         importlib.import_module(f"bitextspark.registry.{section}")
+    ORACLES.update({name: compose(sql, needs) for name, (sql, needs) in _SQL.items()})
