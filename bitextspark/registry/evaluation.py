@@ -9,7 +9,9 @@ from bitextspark.functions import text as tx
 from bitextspark.operators import influence as nf
 from bitextspark.operators import scoring as sc
 from bitextspark.registry import inputs as inp
+from bitextspark.plans.evaluate import score_log
 from bitextspark.registry.base import query, view
+from bitextspark.registry.text import sql_rules
 from bitextspark.scale import spread
 
 
@@ -182,12 +184,12 @@ def _(spark, sf):
     )
 
 
-def _sql_counts(hyp, ref, orders, glue):
+def _sql_counts(hyp, ref, orders, glue, table="hr"):
     gram = f"array_to_string(u[i:i+n-1], '{glue}')"
     return f"""SELECT n, sum(least(hc, rc))::BIGINT AS m, sum(hc)::BIGINT AS h, sum(rc)::BIGINT AS r FROM (
         SELECT id, n, g, count(*) FILTER (WHERE side = 1) AS hc, count(*) FILTER (WHERE side = 0) AS rc FROM (
           SELECT id, side, n, {gram} AS g FROM (
-            SELECT id, 1 AS side, {hyp} AS u FROM hr UNION ALL SELECT id, 0, {ref} FROM hr) x,
+            SELECT id, 1 AS side, {hyp} AS u FROM {table} UNION ALL SELECT id, 0, {ref} FROM {table}) x,
             range(1, {orders}+1) o(n), unnest(range(1, greatest(len(u) - n + 2, 1))) p(i))
         GROUP BY id, n, g) GROUP BY n"""
 
@@ -205,15 +207,14 @@ view("cc", _sql_counts(_sql_chars("hyp"), _sql_chars("ref"), 6, ""), "hr")
 view("wc", _sql_counts(_sql_score_tokens("hyp"), _sql_score_tokens("ref"), 2, " "), "hr")
 
 
-@query(
-    "agg16_corpus_bleu",
-    """SELECT round(100 * bp * exp((ln(p[1]) + ln(p[2]) + ln(p[3]) + ln(p[4])) / 4), 6) AS bleu,
+BLEU = """SELECT round(100 * bp * exp((ln(p[1]) + ln(p[2]) + ln(p[3]) + ln(p[4])) / 4), 6) AS bleu,
               round(100*p[1], 6) AS p1, round(100*p[2], 6) AS p2, round(100*p[3], 6) AS p3, round(100*p[4], 6) AS p4,
               round(bp, 6) AS brevity, hyp_len, ref_len
        FROM (SELECT *, CASE WHEN hyp_len >= ref_len THEN 1.0::DOUBLE ELSE exp(1 - ref_len / hyp_len) END AS bp FROM (
-         SELECT list(m::DOUBLE / h ORDER BY n) AS p, max(h) FILTER (WHERE n = 1) AS hyp_len, max(r) FILTER (WHERE n = 1) AS ref_len FROM bc))""",
-    "bc",
-)
+         SELECT list(m::DOUBLE / h ORDER BY n) AS p, max(h) FILTER (WHERE n = 1) AS hyp_len, max(r) FILTER (WHERE n = 1) AS ref_len FROM {}))"""
+
+
+@query("agg16_corpus_bleu", BLEU.format("bc"), "bc")
 def _(spark, sf):
     return sc.corpus_bleu(hyp_ref(spark, sf))
 
@@ -230,3 +231,28 @@ def _(spark, sf):
 @query("agg17b_corpus_chrf_words", CHRF.format("SELECT * FROM cc UNION ALL SELECT * FROM wc"), "cc", "wc")
 def _(spark, sf):
     return sc.corpus_chrf(hyp_ref(spark, sf), word_order=2)
+
+
+# A generation log: hypothesis rows among others, sub-words still joined by `@@ `.
+view(
+    "log",
+    f"""SELECT id, ref, CASE WHEN substr(x, 1, 1) = 'ß' THEN 'ß' ELSE upper(substr(x, 1, 1)) END || substr(x, 2) AS hyp FROM
+          (SELECT id, ref, {sql_rules('hyp', tx.DETOKENISE_RULES + [tx.DETOKENISE_APOSTROPHES['en']])} AS x FROM hr)""",
+    "hr",
+)
+view("lbc", _sql_counts(_sql_score_tokens("hyp"), _sql_score_tokens("ref"), 4, " ", "log"), "log")
+view("lcc", _sql_counts(_sql_chars("hyp"), _sql_chars("ref"), 6, "", "log"), "log")
+
+
+@query(
+    "score_generation_log",
+    f"SELECT b.bleu, b.brevity, c.chrf FROM ({BLEU.format('lbc')}) b, ({CHRF.format('SELECT * FROM lcc')}) c",
+    "lbc",
+    "lcc",
+)
+def _(spark, sf):
+    both = hyp_ref(spark, sf)
+    pieces = F.regexp_replace("hyp", "([a-z])en", "$1@@ en")
+    line = lambda kind, text: F.concat_ws("\t", F.concat(F.lit(kind), F.col("id").cast("string")), F.lit("-0.25"), text)
+    log = both.select(F.explode(F.array(line("S-", F.col("ref")), line("H-", pieces))).alias("value"))
+    return score_log(log, both.select("id", "ref"), "en")

@@ -11,7 +11,7 @@ from bitextspark.registry.base import query, view
 from bitextspark.scale import materialise
 
 
-def _sql_rules(expr, rules):
+def sql_rules(expr, rules):
     for pattern, replacement in rules:
         p = pattern.replace("'", "''")
         r = replacement.replace("$1", "\\1").replace("$2", "\\2").replace("'", "''")
@@ -20,12 +20,12 @@ def _sql_rules(expr, rules):
 
 
 def _sql_by_language(expr, rules):
-    cases = " ".join(f"WHEN lang = '{c}' THEN {_sql_rules(expr, [r])}" for c, r in rules.items() if c)
-    return f"CASE {cases} ELSE {_sql_rules(expr, [rules['']])} END"
+    cases = " ".join(f"WHEN lang = '{c}' THEN {sql_rules(expr, [r])}" for c, r in rules.items() if c)
+    return f"CASE {cases} ELSE {sql_rules(expr, [rules['']])} END"
 
 
-view("n0", f"SELECT pair_id, lang, {_sql_rules('src', tx.NORMALISE_RULES)} AS x FROM pairs", "pairs")
-view("n1", f"SELECT pair_id, lang, {_sql_rules('x', tx.SPLIT_RULES)} AS x FROM n0", "n0")
+view("n0", f"SELECT pair_id, lang, {sql_rules('src', tx.NORMALISE_RULES)} AS x FROM pairs", "pairs")
+view("n1", f"SELECT pair_id, lang, {sql_rules('x', tx.SPLIT_RULES)} AS x FROM n0", "n0")
 view(
     "tokd",
     f"SELECT pair_id, lang, trim(regexp_replace({_sql_by_language('x', tx.APOSTROPHE_RULES)}, '\\s+', ' ', 'g')) AS x FROM n1",
@@ -81,7 +81,7 @@ def _(spark, sf):
 
 @query(
     "str7_detokenise",
-    f"SELECT pair_id, {_sql_by_language('y', tx.DETOKENISE_APOSTROPHES)} AS src FROM (SELECT pair_id, lang, {_sql_rules('x', tx.DETOKENISE_RULES)} AS y FROM tokd)",
+    f"SELECT pair_id, {_sql_by_language('y', tx.DETOKENISE_APOSTROPHES)} AS src FROM (SELECT pair_id, lang, {sql_rules('x', tx.DETOKENISE_RULES)} AS y FROM tokd)",
     "tokd",
 )
 def _(spark, sf):
