@@ -284,3 +284,58 @@ def test_reassembly(spark):
     df = spark.createDataFrame(units, "pair_id long, unit_pos int, unit string")
     row = bl.reassemble_units(df).first()
     assert (row.src, row.tgt) == ("a b", "x y")
+
+
+def test_one_hot_key_keeps_all_rows(spark):
+    """Most rows under one key: averages, ranks and encodings stay whole and exact."""
+    n = 5000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 5 < 4, 0).otherwise(F.col("id")).alias("key"),
+        F.col("id").alias("t"),
+        (F.col("id") * 37 % 101).cast("double").alias("x"),
+    )
+    got = {r.key: (r.n, r.ema) for r in em.ema(df, ["key"], ["t"], "x").collect()}
+    e = 0.0
+    for r in df.where("key = 0").orderBy("t").collect():
+        e = e * 0.99 + r.x * 0.01
+    assert got[0][0] == df.where("key = 0").count()
+    assert got[0][1] == pytest.approx(e, abs=1e-9)
+    toks = spark.range(n).select(
+        F.col("id").alias("pair_id"),
+        F.array(F.lit("the"), F.when(F.col("id") % 3 == 0, "the").otherwise(F.col("id").cast("string"))).alias("t"),
+    )
+    v = vo.build_vocabulary(vo.token_counts(toks, "t"))
+    ids = vo.encode(toks, v, ("pair_id",), {"ids": "t"})
+    assert ids.count() == n
+    assert ids.select(F.explode("ids").alias("i")).where("i = 4").count() == n + len(range(0, n, 3))
+
+
+def test_corpus_build_stages(spark, tmp_path):
+    """Row counts, tags, epochs and label columns of a small marked corpus."""
+    from bitextspark.config import CleanConfig
+    from bitextspark.plans.corpus import CorpusBuild, CorpusConfig
+
+    rng = random.Random(2)
+    words = ["house", "tree", "river", "stone", "cloud", "light", "green", "small"]
+    rows = [
+        (i, "◹ " + " ".join(s := rng.choices(words, k=6)), " ".join(w[::-1] for w in s)) for i in range(40)
+    ]
+    df = spark.createDataFrame(rows, "pair_id long, src string, tgt string")
+    specs = (TaskSpec("src"), TaskSpec("wrdp", 0.5), TaskSpec("replace_tgt", 0.5), TaskSpec("mono"))
+    cfg = CorpusConfig("en", "fr", specs, epochs=2, n_merges=12, clean=CleanConfig(max_tokens=300), marked=True, em_rounds=2)
+    build = CorpusBuild(spark, df, cfg, str(tmp_path))
+    rows = build.versions().collect()
+    n = build.segmented().count()
+    assert n == 40
+    counts = Counter((r.task, r.epoch) for r in rows)
+    assert counts == {("base", 1): n, ("src", 1): n, ("mono", 1): n, ("wrdp", 1): n, ("wrdp", 2): n, ("replace_tgt", 1): n, ("replace_tgt", 2): n}
+    tags = {"base": "TO_fr", "src": "TO_frtrain2", "wrdp": "TO_frtrain3", "replace_tgt": "TO_frtrain4", "mono": "TO_frtrain5"}
+    for r in rows:
+        assert r.src.startswith(tags[r.task] + " ◹ ")
+        if r.task == "src":
+            assert r.tgt == r.src.split(" ", 2)[2]
+        if r.task == "wrdp":
+            assert r.tgt.count("★") == 3
+    encoded = build.encoded()
+    assert encoded.count() == len(rows)
+    assert encoded.where("array_contains(src_ids, 3) or array_contains(tgt_ids, 3)").where("epoch = 1").count() == 0
