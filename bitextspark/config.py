@@ -17,6 +17,9 @@ TAG_PREFIX = "TO_"
 BOS_ID, PAD_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
 SPECIALS = ("<s>", "<pad>", "</s>", "<unk>")
 
+# Fixed value: name of the symbols that fill a vocabulary up to a round size.
+FILLER = "madeupword"
+
 # Task names, split by how they are computed.
 FIXED_TASKS = ("base", "src", "copy", "rev", "alpha", "invalpha", "length", "invlength", "mono")
 RESAMPLED_TASKS = ("shuf", "wrdp", "wrdp2", "swap", "replace", "replace_tgt")

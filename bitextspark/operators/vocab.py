@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitextspark.config import EOS_ID, SPECIALS, UNK_ID
+from bitextspark.config import EOS_ID, FILLER, SPECIALS, UNK_ID
 from bitextspark.functions import ids as fi
 from bitextspark.scale import global_rank, lookup_tokens, small_enough
 
@@ -46,7 +46,7 @@ def build_vocabulary(counts: DataFrame, threshold: int = 1, n_words: int | None
     out = heads.unionByName(words)
     if padding_factor > 1:
         size = ranked.agg(F.count(F.lit(1)).alias("n")).first()["n"] + len(SPECIALS)
-        fill = [(size + k, f"madeupword{k:04d}", 0) for k in range(-size % padding_factor)]
+        fill = [(size + k, f"{FILLER}{k:04d}", 0) for k in range(-size % padding_factor)]
         if fill:
             out = out.unionByName(spark.createDataFrame(fill, "id int, symbol string, count bigint"))
     return out
