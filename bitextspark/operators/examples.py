@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,16 @@ def example_for_task(records: DataFrame, task: str) -> DataFrame:
     )
 
 
-def on_every_side(record_cols: dict[str, Column], fn) -> dict[str, Column]:
-    """Apply an id-array function to the named arrays."""
-    return {name: fn(c) for name, c in record_cols.items()}
+def map_ids(
+    records: DataFrame, src: Callable[[Column], Column] | None = None, tgt: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Apply id-array functions (append, prepend, strip, truncate) to the base row and
+    to every auxiliary version of a record."""
+    on_src, on_tgt = src or (lambda c: c), tgt or (lambda c: c)
+    versions = F.transform_values(
+        "aux",
+        lambda _, v: F.struct(on_src(v["src_ids"]).alias("src_ids"), on_tgt(v["tgt_ids"]).alias("tgt_ids")),
+    )
+    return records.withColumns(
+        {"src_ids": on_src(F.col("src_ids")), "tgt_ids": on_tgt(F.col("tgt_ids")), "aux": versions}
+    )

@@ -162,6 +162,26 @@ def _(spark, sf):
     )
 
 
+@query(
+    "prj10b_specials_on_auxiliaries",
+    """SELECT pair_id, array_to_string(s[1:len(s)-1],' ') AS src, array_to_string([0] || t,' ') AS tgt,
+              array_to_string(s[1:len(s)-1],' ') AS rev_src,
+              array_to_string([0] || list_append(list_reverse(t[1:len(t)-1]),2),' ') AS rev_tgt FROM enc""",
+    "enc",
+)
+def _(spark, sf):
+    records = ex.attach_auxiliaries(_versions_as_ids(spark, sf, [TaskSpec("rev")]))
+    done = ex.map_ids(records, src=fi.strip_eos, tgt=fi.prepend_bos)
+    rev = F.col("aux")["rev"]
+    return done.select(
+        "pair_id",
+        ids_text(F.col("src_ids")).alias("src"),
+        ids_text(F.col("tgt_ids")).alias("tgt"),
+        ids_text(rev["src_ids"]).alias("rev_src"),
+        ids_text(rev["tgt_ids"]).alias("rev_tgt"),
+    )
+
+
 @query(
     "prj11_truncate_source",
     "SELECT pair_id, array_to_string(list_append((s[1:len(s)-1])[1:19], 2),' ') AS ids FROM enc",
