@@ -92,31 +92,57 @@ def batch_totals(df: DataFrame, src: str, tgt: str) -> DataFrame:
 
 
 def collate(
-    df: DataFrame, src: str, tgt: str, key: str = "pair_id", multiple: int = 1, pad: int = PAD_ID, eos: int = EOS_ID
+    df: DataFrame,
+    src: str,
+    tgt: str,
+    key: str = "pair_id",
+    multiple: int = 1,
+    pad: int = PAD_ID,
+    eos: int = EOS_ID,
+    by: tuple[str, ...] = (),
+    order: str | None = None,
+    links: str | None = None,
 ) -> DataFrame:
     """One row per batch: ids, left-padded sources, right-padded targets, decoder
     inputs, lengths and totals; rows in order of falling source length.
 
-    A group is one batch, whose size the token budget bounds.
+    Auxiliary versions join the batches of their base rows: pass `by=("task",)` and an
+    `order` column with the base source length, so that all tasks keep one row order.
+    With `links`, link positions are moved along: sources by the left padding, targets
+    by the padded rows before them. A group is one batch, whose size the budget bounds.
     """
     cell = F.struct(
-        (-F.size(src)).alias("k"), F.col(key).alias("id"), F.col(src).alias("s"), F.col(tgt).alias("t"),
-        fi.decoder_input(F.col(tgt), eos).alias("p"),
+        (-(F.col(order) if order else F.size(src))).alias("k"), F.col(key).alias("id"), F.col(src).alias("s"),
+        F.col(tgt).alias("t"), fi.decoder_input(F.col(tgt), eos).alias("p"),
+        *([F.col(links).alias("l")] if links else []),
     )
-    grouped = df.groupBy("batch_id").agg(
+    grouped = df.groupBy("batch_id", *by).agg(
         F.sort_array(F.collect_list(cell)).alias("b"),
         fi.round_up(F.max(F.size(src)), multiple).alias("ls"),
         fi.round_up(F.max(F.size(tgt)), multiple).alias("lt"),
         F.count(F.lit(1)).alias("nsentences"),
         F.sum(F.size(tgt).cast("bigint")).alias("ntokens"),
     )
+    moved = F.flatten(
+        F.transform(
+            "b",
+            lambda r, i: F.transform(
+                r["l"],
+                lambda l: F.struct(
+                    (l["s"] + F.col("ls") - F.size(r["s"])).alias("s"), (l["t"] + i * F.col("lt")).alias("t")
+                ),
+            ),
+        )
+    )
     return grouped.select(
         "batch_id",
+        *by,
         F.transform("b", lambda r: r["id"]).alias("ids"),
         F.transform("b", lambda r: fi.pad_left(r["s"], F.col("ls"), pad)).alias("source"),
         F.transform("b", lambda r: fi.pad_right(r["t"], F.col("lt"), pad)).alias("target"),
         F.transform("b", lambda r: fi.pad_right(r["p"], F.col("lt"), pad)).alias("prev_output"),
         F.transform("b", lambda r: F.size(r["s"])).alias("src_lengths"),
+        *([moved.alias("links")] if links else []),
         "nsentences",
         "ntokens",
     )

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from bitextspark.functions import ids as fi
 from bitextspark.operators import batching as ba
 from bitextspark.operators import examples as ex
+from bitextspark.operators.bilingual import render_links
 from bitextspark.registry.base import query, view
+from bitextspark.registry.bilingual import linked
 from bitextspark.registry.rows import _versions_as_ids, encoded, ids_text
 from bitextspark.config import TaskSpec
 
@@ -125,6 +127,41 @@ def _(spark, sf):
     )
 
 
+@query(
+    "bat4b_collate_links",
+    """SELECT batch_id, string_agg((l.s + ls - len(p.s)) || '-' || (l.t + i * lt), ' ' ORDER BY i, l.k) AS links FROM
+         (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY -len(s), pair_id) - 1 AS i,
+                 max(len(s)) OVER (PARTITION BY batch_id) AS ls, max(len(t)) OVER (PARTITION BY batch_id) AS lt FROM packed) p
+         JOIN lk l USING (pair_id) GROUP BY batch_id""",
+    "packed",
+    "lk",
+)
+def _(spark, sf):
+    rows = packed(spark, sf).join(linked(spark, sf).select("pair_id", "links"), "pair_id")
+    batches = ba.collate(rows, "src_ids", "tgt_ids", links="links")
+    return batches.where(F.size("links") > 0).select("batch_id", render_links(F.col("links")).alias("links"))
+
+
+@query(
+    "bat4c_collate_auxiliaries",
+    """SELECT batch_id, task, array_to_string(list(pair_id ORDER BY k, pair_id), ' ') AS ids,
+         array_to_string(list(array_to_string(list_resize(x, lt, 1), ' ') ORDER BY k, pair_id), '|') AS target
+       FROM (SELECT *, -len(s) AS k, max(len(x)) OVER (PARTITION BY batch_id, task) AS lt FROM (
+         SELECT batch_id, pair_id, s, 'base' AS task, t AS x FROM packed
+         UNION ALL SELECT batch_id, pair_id, s, 'rev', list_append(list_reverse(t[1:len(t)-1]), 2) FROM packed))
+       GROUP BY batch_id, task""",
+    "packed",
+)
+def _(spark, sf):
+    placed = packed(spark, sf).select("pair_id", "batch_id", F.size("src_ids").alias("base_len"))
+    rows = _versions_as_ids(spark, sf, [TaskSpec("rev")]).join(placed, "pair_id")
+    batches = ba.collate(rows, "src_ids", "tgt_ids", by=("task",), order="base_len")
+    return batches.select(
+        "batch_id", "task", ids_text(F.col("ids")).alias("ids"),
+        F.array_join(F.transform("target", ids_text), "|").alias("target"),
+    )
+
+
 @query("win6_strided_split", "SELECT pair_id, batch_id, slot % 3 AS part FROM packed", "packed")
 def _(spark, sf):
     return ba.split_batch(packed(spark, sf), 3).select("pair_id", "batch_id", "part")
