@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitextspark.llm import chat, licences, pieces, quality, tokenfile, urls
+from bitextspark.llm import chat, licences, neardup, pieces, quality, tokenfile, urls
 from bitextspark.scale import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,9 @@ def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
     location = scratch_path(spark, "tokens")
     tokenfile.write(docs, location, WORD_PIECES, end_id=1)
     return tokenfile.checksums(spark, location)
+
+
+@register
+def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    return neardup.link(docs, neardup.NearDuplicates(percent=85))

@@ -15,7 +15,8 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 21
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
-_POWERS = np.ones(1, dtype=np.uint64)
+_INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
+_POWERS = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,12 +45,16 @@ NOT_ALNUM = np.ones(256, dtype=bool)
 NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multiplier's powers 0 to n - 1, and those of its inverse modulo 2**64."""
     global _POWERS
-    if len(_POWERS) < n:
-        steps = np.full(n, _MULTIPLIER, dtype=np.uint64)
-        steps[0] = 1
-        _POWERS = np.multiply.accumulate(steps)
+    if len(_POWERS[0]) < n:
+        made = []
+        for base in (_MULTIPLIER, _INVERSE):
+            steps = np.full(n, base, dtype=np.uint64)
+            steps[0] = 1
+            made.append(np.multiply.accumulate(steps))
+        _POWERS = (made[0], made[1])
     return _POWERS
 
 
@@ -96,10 +101,10 @@ class Words:
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hashes of byte spans: polynomial prefix sums, then a finaliser with the length."""
     n = len(data)
-    powers = _powers(n + 1)
+    powers, inverse = _powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(VALUES[lower][data] * powers[:n], out=sums[1:])
-    raw = (sums[end] - sums[start]) * powers[n - start]
+    raw = (sums[end] - sums[start]) * inverse[start]
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
