@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitextspark.llm import chat, licences, neardup, pieces, quality, tokenfile, urls
+from bitextspark.llm import chat, decontaminate, licences, neardup, pieces, quality, substrings, tokenfile, urls
 from bitextspark.scale import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,14 @@ def op10_token_file(spark: SparkSession, sf: str) -> DataFrame:
 def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "text")
     return neardup.link(docs, neardup.NearDuplicates(percent=85))
+
+
+@register
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf, "benchmark", "item_id", "text"))
+
+
+@register
+def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.passages(table(spark, sf, "documents", "doc_id", "text"))
