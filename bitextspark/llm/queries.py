@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitextspark.llm import chat, decontaminate, licences, neardup, pieces, quality, substrings, tokenfile, urls
+from bitextspark.llm import chat, decontaminate, licences, neardup, pieces, pii, quality, substrings, tokenfile, urls
 from bitextspark.scale import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,22 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.passages(table(spark, sf, "documents", "doc_id", "text"))
+
+
+def _joined_spans(name: str):
+    return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@register
+def op5_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    crf = pii.train(pii.labelled_table(spark))
+    found = pii.find(table(spark, sf, "documents", "doc_id", "text"), crf).drop("text")
+    counts = [
+        F.size(F.filter("base_spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(_joined_spans("base_spans"), 256).alias("base_sha256"),
+        _joined_spans("all_spans").alias("spans"),
+    )
