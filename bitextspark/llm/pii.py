@@ -195,7 +195,7 @@ def _allowed() -> np.ndarray:
     return ok
 
 
-def fit(rows: list[tuple[str, list[Span]]], rounds: int = 80, penalty: float = 0.02, rate: float = 0.15) -> Crf:
+def fit(rows: list[tuple[str, list[Span]]], rounds: int = 50, penalty: float = 0.02, rate: float = 0.2) -> Crf:
     """Maximum likelihood with an L2 penalty by Adam on all rows at once; deterministic."""
     if not rows:
         raise ValueError("the labelled table is empty")
@@ -322,7 +322,7 @@ def _example(rng: np.random.Generator) -> tuple[str, list[Span]]:
     return text + " ".join(word() for _ in range(int(rng.integers(0, 5)))), spans
 
 
-def labelled_table(spark: SparkSession, rows: int = 500, seed: int = 7) -> DataFrame:
+def labelled_table(spark: SparkSession, rows: int = 400, seed: int = 7) -> DataFrame:
     """A small labelled table made by rule (`LABELLED`)."""
     rng = np.random.default_rng(seed)
     made = [_example(rng) for _ in range(rows)]

@@ -199,16 +199,17 @@ def _joined_spans(name: str):
     return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _count(kind: str):
+    return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
 @register
 def op5_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     crf = pii.train(pii.labelled_table(spark))
     found = pii.find(table(spark, sf, "documents", "doc_id", "text"), crf).drop("text")
-    counts = [
-        F.size(F.filter("base_spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS
-    ]
     return found.select(
         "doc_id",
-        *counts,
+        *map(_count, pii.KINDS),
         F.sha2(_joined_spans("base_spans"), 256).alias("base_sha256"),
         _joined_spans("all_spans").alias("spans"),
     )
