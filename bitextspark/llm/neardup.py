@@ -12,9 +12,11 @@ Links are found in four steps.
 2. Bands of the signature are buckets. Each bucket compares its members with its smallest
    id only: as many pairs as members, never all pairs.
 3. Compared pairs are confirmed on full shingle sets.
-4. Buckets whose other members are not yet in one component are split by a second (third,
-   ...) band among those members and compared again, until none is left. A pair above the
-   threshold shares many bands, so it meets again in the finer buckets.
+4. What is left are buckets whose other members are not in one component yet. Their
+   signatures (a byte for each slot) are compared inside the task, and pairs whose
+   estimate comes near the threshold are confirmed on full sets as well. Buckets of more
+   than `BLOCK` such members are first split by a second (third, ...) band: a pair above
+   the threshold shares many bands, so it meets again in the finer buckets.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Explicit permutations are kept for so many elements at a time.
 _SLICE = 20_000
 _REPLAYED = 6
+#: Most members of a bucket that are compared inside one task.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -52,6 +56,12 @@ class NearDuplicates:
     slots: int = SLOTS
     miss: float = 1e-5
 
+    @property
+    def margin(self) -> float:
+        """4.5 standard deviations of an estimate at the threshold."""
+        s = self.percent / 100
+        return 4.5 * (s * (1 - s) / self.slots) ** 0.5
+
     @property
     def rows(self) -> int:
         s = self.percent / 100
@@ -162,7 +172,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return total
 
 
-FINGERPRINTS = "id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"
+FINGERPRINTS = "id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"
 
 
 def fingerprints(docs: DataFrame, cfg: NearDuplicates, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,8 +189,9 @@ def fingerprints(docs: DataFrame, cfg: NearDuplicates, doc_id: str = "doc_id", t
                     total = np.zeros(len(sets) + 1, dtype=np.uint64)
                     np.cumsum(mix(sets ^ salt), out=total[1:])
                     sums.append(mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)).view(np.int64))
-                keys = band_keys(super_minhash(sets, bounds, slots), per_band)
-                keys = keys[n > 0]
+                signatures = super_minhash(sets, bounds, slots)
+                sketch = (signatures & np.uint64(0xFF)).astype(np.uint8).tobytes()
+                keys = band_keys(signatures, per_band)[n > 0]
                 ends = np.cumsum(np.concatenate([[0], np.where(n > 0, slots // per_band, 0)]))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -189,8 +200,9 @@ def fingerprints(docs: DataFrame, cfg: NearDuplicates, doc_id: str = "doc_id", t
                         pa.array(sums[0]),
                         pa.array(sums[1]),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
+                        pa.array([sketch[slots * i : slots * (i + 1)] for i in range(block.rows)], pa.binary()),
                     ],
-                    names=["id", "n_shingles", "d1", "d2", "bands"],
+                    names=["id", "n_shingles", "d1", "d2", "bands", "sketch"],
                 )
 
     return docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, FINGERPRINTS)
@@ -250,6 +262,80 @@ def _close(cfg: NearDuplicates):
     return 100 * F.least("n", "head.n") >= cfg.percent * F.greatest("n", "head.n")
 
 
+def _near(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, cfg: NearDuplicates) -> list[tuple[int, int]]:
+    """Pairs of different components in one bucket whose estimate comes near the threshold.
+
+    Pairs are taken from the most similar down. A pair of at least `threshold + margin` is
+    sure to be confirmed, so pairs that such pairs connect already are left out."""
+    low, high = cfg.percent / 100 - cfg.margin, cfg.percent / 100 + cfg.margin
+    found: list[tuple[float, int, int]] = []
+    for i in range(len(ids) - 1):
+        other = np.flatnonzero(
+            (component[i + 1 :] != component[i])
+            & (100 * np.minimum(n[i + 1 :], n[i]) >= cfg.percent * np.maximum(n[i + 1 :], n[i]))
+        ) + (i + 1)
+        if len(other):
+            estimate = (sketch[other] == sketch[i]).mean(axis=1)
+            found += [(-e, i, int(j)) for e, j in zip(estimate.tolist(), other.tolist()) if e >= low]
+    if not found:
+        return []
+    parent = {c: c for c in component.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for minus, i, j in sorted(found):
+        x, y = root(int(component[i])), root(int(component[j]))
+        if x != y:
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+            if -minus >= high:
+                parent[x] = y
+    return out
+
+
+def _compared(members: DataFrame, cfg: NearDuplicates) -> DataFrame:
+    """Near pairs `(a, b)` of buckets `(bucket, id, n, component, sketch)` of at most `BLOCK` rows."""
+
+    def groups(batches: Iterator[pa.RecordBatch]):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            keys = table.column("bucket").to_numpy()
+            cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            yield table.slice(0, int(cuts[-1])), cuts
+            held = table.slice(int(cuts[-1])).combine_chunks().to_batches()  # the last bucket may go on
+        if held:
+            table = pa.Table.from_batches(held)
+            yield table, np.array([0, table.num_rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in groups(batches):
+            if not table.num_rows:
+                continue
+            ids, n, component = (table.column(c).to_numpy() for c in ("id", "n", "component"))
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+            pairs: set[tuple[int, int]] = set()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                pairs.update(_near(ids[a:b], n[a:b], component[a:b], sketch[a:b], cfg))
+            ordered = sorted(pairs)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in ordered], pa.int64()), pa.array([p[1] for p in ordered], pa.int64())], names=["a", "b"]
+            )
+
+    placed = members.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "id", "n", "component", "sketch")
+    return placed.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _joined(links: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if links is None else links.unionByName(more)
+
+
 def link(docs: DataFrame, cfg: NearDuplicates = NearDuplicates(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`(doc_id, n_shingles, component_id, kept)` for every row of `docs`.
 
@@ -260,30 +346,34 @@ def link(docs: DataFrame, cfg: NearDuplicates = NearDuplicates(), doc_id: str =
     source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
     prints = _store(fingerprints(docs, cfg, doc_id, text), "fingerprints")
     some = prints.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = some.groupBy("d1", "d2").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min_by(F.struct("n_shingles", "bands"), "id").alias("own")
-    )
-    reps = _store(classes.select(F.col("rep").alias("id"), F.col("own.n_shingles").alias("n"), F.col("own.bands").alias("bands"), "size", "d1", "d2"), "classes")
+    own = F.struct("n_shingles", "bands", "sketch")
+    classes = some.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.min_by(own, "id").alias("own"))
+    reps = _store(classes.select("id", "size", "d1", "d2", F.col("own.n_shingles").alias("n"), "own.bands", "own.sketch"), "classes")
     members = reps.select("id", "n", F.explode("bands").alias("bucket")).distinct()
     links: DataFrame | None = None
     while True:
         met = _store(_leaders(members), "buckets")
-        pairs = met.where((F.col("id") != F.col("head.id")) & _close(cfg)).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
-        found = _store(_confirmed(pairs, source, cfg), "confirmed")
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
+        others = met.where(F.col("id") != F.col("head.id"))
+        pairs = others.where(_close(cfg)).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
+        links = _joined(links, _store(_confirmed(pairs, source, cfg), "confirmed"))
+        components = _store(connected(links), "components")
+        labelled = others.select("bucket", "id", "n").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = labelled.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("left"), (F.min("component") != F.max("component")).alias("mixed")
+        )
+        left = _store(labelled.join(mixed.where("mixed").drop("mixed"), "bucket"), "open")
+        small = left.where(F.col("left") <= BLOCK).join(reps.select("id", "sketch"), "id")
+        near = _store(_compared(small, cfg), "near")
+        if not near.isEmpty():
+            links = _joined(links, _store(_confirmed(near.join(pairs, ["a", "b"], "left_anti"), source, cfg), "confirmed"))
             components = _store(connected(links), "components")
-        rest = met.where(F.col("id") != F.col("head.id")).select("bucket", "id", "n")
-        labelled = rest.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = labelled.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-        # One row per open bucket and component-mate; a second band splits the bucket further.
-        open_members = _store(labelled.join(mixed, "bucket").select("bucket", "id", "n"), "open")
-        if open_members.isEmpty():
+        large = left.where(F.col("left") > BLOCK)
+        if large.isEmpty():
             break
-        finer = open_members.join(reps.select("id", F.explode("bands").alias("band")), "id").where("band <> bucket")
-        members = finer.select("id", "n", (F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band"))).alias("bucket")).distinct()
+        finer = large.select("bucket", "id", "n").join(reps.select("id", F.explode("bands").alias("band")), "id").where("band <> bucket")
+        members = finer.select("id", "n", F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")).alias("bucket")).distinct()
     named = reps.where("size > 1").select("d1", "d2", F.col("id").alias("rep"))
-    joined = prints.drop("bands").join(named, ["d1", "d2"], "left").withColumn(
+    joined = prints.drop("bands", "sketch").join(named, ["d1", "d2"], "left").withColumn(
         "rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "id")).otherwise(F.col("id"))
     )
     component = F.coalesce("component", "rep")
