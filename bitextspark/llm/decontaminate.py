@@ -4,8 +4,9 @@
    and cuts a window of words around the hits, so only passages that share an n-gram leave
    the scan.
 2. Document frequencies of the shared n-grams are counted over the whole corpus. An item's
-   seeds are its n-grams of a frequency up to `max_frequency`; an item of which every
-   n-gram is more frequent keeps them all, so no item is lost.
+   seeds are its n-grams of a frequency up to `max_frequency`. A window is also paired
+   with an item of which it holds `min_shared` n-grams of any frequency (or all of a short
+   item), so items that very many documents copy are not lost.
 3. Seeds join windows to items, and each pair is aligned word by word. The score is the
    best local alignment over the item's length: 1 for a verbatim copy; replaced, dropped
    and inserted words cost a little each, so paraphrased or edited copies stay above
@@ -38,6 +39,7 @@ class Decontamination:
 
     n: int = 4
     max_frequency: float = 0.01
+    min_shared: int = 3
     min_score: float = 0.4
     mismatch: float = 0.5
     gap: float = 0.5
@@ -212,10 +214,17 @@ def matches(
     frequency = shared.select("doc_id", "gram").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rare = F.col("df") <= F.greatest(F.lit(1.0), F.lit(cfg.max_frequency * total))
     graded = postings.join(frequency, "gram").withColumn("rare", rare)
-    usable = graded.groupBy("item_id").agg(F.max("rare").alias("any_rare"))
-    seeds = graded.join(usable, "item_id").where(F.col("rare") | ~F.col("any_rare")).select("gram", "item_id")
-    # Seeds are at most the benchmark's n-grams, whose texts were checked above.
-    pairs = shared.select("key", "gram").join(F.broadcast(seeds), "gram").select("key", "item_id").distinct()
+    enough = postings.groupBy("item_id").agg(F.least(F.lit(cfg.min_shared), F.count(F.lit(1))).alias("enough"))
+    # At most the benchmark's n-grams, whose texts were checked above.
+    seeds = F.broadcast(graded.join(enough, "item_id").select("gram", "item_id", "rare", "enough"))
+    pairs = (
+        shared.select("key", "gram")
+        .join(seeds, "gram")
+        .groupBy("key", "item_id")
+        .agg(F.max("rare").alias("rare"), F.count_distinct("gram").alias("n"), F.max("enough").alias("enough"))
+        .where("rare OR n >= enough")
+        .select("key", "item_id")
+    )
     aligned = _aligned(found.drop("grams").join(pairs, "key"), items, cfg)
     best = aligned.groupBy("doc_id", "item_id").agg(
         F.max(F.struct("score", (-F.col("start")).alias("before"), (-F.col("end")).alias("until"))).alias("m")

@@ -14,7 +14,9 @@ Links are found in four steps.
 3. Compared pairs are confirmed on full shingle sets.
 4. What is left are buckets whose other members are not in one component yet. Their
    signatures (a byte for each slot) are compared inside the task, and pairs whose
-   estimate comes near the threshold are confirmed on full sets as well. Buckets of more
+   estimate comes near the threshold are confirmed on full sets as well: first the most
+   similar one of each member, and more (`QUOTAS`, at last all) only where components
+   still meet in a bucket, so a group of linked copies needs few pairs. Buckets of more
    than `BLOCK` such members are first split by a second (third, ...) band: a pair above
    the threshold shares many bands, so it meets again in the finer buckets.
 """
@@ -41,6 +43,8 @@ _SLICE = 20_000
 _REPLAYED = 6
 #: Most members of a bucket that are compared inside one task.
 BLOCK = 1024
+#: Pairs of a member in each round of comparisons; the last round takes all.
+QUOTAS = (1, 16, BLOCK)
 
 
 @dataclass(frozen=True)
@@ -262,21 +266,22 @@ def _close(cfg: NearDuplicates):
     return 100 * F.least("n", "head.n") >= cfg.percent * F.greatest("n", "head.n")
 
 
-def _near(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, cfg: NearDuplicates) -> list[tuple[int, int]]:
-    """Pairs of different components in one bucket whose estimate comes near the threshold.
+def _near(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, cfg: NearDuplicates, quota: int) -> list[tuple[int, int]]:
+    """Pairs of different components in one bucket whose estimate comes near the threshold,
+    for each member those with its `quota` most similar ones.
 
     Pairs are taken from the most similar down. A pair of at least `threshold + margin` is
     sure to be confirmed, so pairs that such pairs connect already are left out."""
     low, high = cfg.percent / 100 - cfg.margin, cfg.percent / 100 + cfg.margin
     found: list[tuple[float, int, int]] = []
-    for i in range(len(ids) - 1):
+    for i in range(len(ids)):
         other = np.flatnonzero(
-            (component[i + 1 :] != component[i])
-            & (100 * np.minimum(n[i + 1 :], n[i]) >= cfg.percent * np.maximum(n[i + 1 :], n[i]))
-        ) + (i + 1)
+            (component != component[i]) & (100 * np.minimum(n, n[i]) >= cfg.percent * np.maximum(n, n[i]))
+        )
         if len(other):
             estimate = (sketch[other] == sketch[i]).mean(axis=1)
-            found += [(-e, i, int(j)) for e, j in zip(estimate.tolist(), other.tolist()) if e >= low]
+            best = np.lexsort((ids[other], -estimate))[:quota]
+            found += [(-e, min(i, j), max(i, j)) for e, j in zip(estimate[best].tolist(), other[best].tolist()) if e >= low]
     if not found:
         return []
     parent = {c: c for c in component.tolist()}
@@ -288,7 +293,7 @@ def _near(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndar
         return c
 
     out = []
-    for minus, i, j in sorted(found):
+    for minus, i, j in sorted(set(found)):
         x, y = root(int(component[i])), root(int(component[j]))
         if x != y:
             out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
@@ -297,7 +302,7 @@ def _near(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndar
     return out
 
 
-def _compared(members: DataFrame, cfg: NearDuplicates) -> DataFrame:
+def _compared(members: DataFrame, cfg: NearDuplicates, quota: int) -> DataFrame:
     """Near pairs `(a, b)` of buckets `(bucket, id, n, component, sketch)` of at most `BLOCK` rows."""
 
     def groups(batches: Iterator[pa.RecordBatch]):
@@ -322,7 +327,7 @@ def _compared(members: DataFrame, cfg: NearDuplicates) -> DataFrame:
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
             pairs: set[tuple[int, int]] = set()
             for a, b in zip(cuts[:-1], cuts[1:]):
-                pairs.update(_near(ids[a:b], n[a:b], component[a:b], sketch[a:b], cfg))
+                pairs.update(_near(ids[a:b], n[a:b], component[a:b], sketch[a:b], cfg, quota))
             ordered = sorted(pairs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in ordered], pa.int64()), pa.array([p[1] for p in ordered], pa.int64())], names=["a", "b"]
@@ -332,6 +337,14 @@ def _compared(members: DataFrame, cfg: NearDuplicates) -> DataFrame:
     return placed.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
+    """Members of the buckets in which components still meet, with `component` and the
+    bucket's size `left`."""
+    labelled = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), (F.min("component") != F.max("component")).alias("mixed"))
+    return labelled.join(sizes.where("mixed").drop("mixed"), "bucket")
+
+
 def _joined(links: DataFrame | None, more: DataFrame) -> DataFrame:
     return more if links is None else links.unionByName(more)
 
@@ -357,16 +370,18 @@ def link(docs: DataFrame, cfg: NearDuplicates = NearDuplicates(), doc_id: str =
         pairs = others.where(_close(cfg)).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
         links = _joined(links, _store(_confirmed(pairs, source, cfg), "confirmed"))
         components = _store(connected(links), "components")
-        labelled = others.select("bucket", "id", "n").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = labelled.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("left"), (F.min("component") != F.max("component")).alias("mixed")
-        )
-        left = _store(labelled.join(mixed.where("mixed").drop("mixed"), "bucket"), "open")
-        small = left.where(F.col("left") <= BLOCK).join(reps.select("id", "sketch"), "id")
-        near = _store(_compared(small, cfg), "near")
-        if not near.isEmpty():
-            links = _joined(links, _store(_confirmed(near.join(pairs, ["a", "b"], "left_anti"), source, cfg), "confirmed"))
-            components = _store(connected(links), "components")
+        left = _store(_mixed(others.select("bucket", "id", "n"), components), "open")
+        small = left.where(F.col("left") <= BLOCK).select("bucket", "id", "n").join(reps.select("id", "sketch"), "id")
+        tested = pairs
+        for quota in QUOTAS:
+            near = _store(_compared(_mixed(small, components), cfg, quota), "near")
+            if near.isEmpty():
+                break
+            found = _store(_confirmed(near.join(tested, ["a", "b"], "left_anti"), source, cfg), "confirmed")
+            if not found.isEmpty():
+                links = _joined(links, found)
+                components = _store(connected(links), "components")
+            tested = tested.unionByName(near)
         large = left.where(F.col("left") > BLOCK)
         if large.isEmpty():
             break

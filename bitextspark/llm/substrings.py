@@ -75,17 +75,19 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: i
         for batch in batches:
             for block in blocks(batch.column(1)):
                 w = words(block, lower=True)
+                if not len(w.start):
+                    continue
                 at = np.flatnonzero(borders(block, w, reach))
                 ends = np.append(at[1:], len(w.start))
                 counts = ends - at
-                row = w.row[at] if len(at) else np.zeros(0, np.int64)
+                row = w.row[at]
                 # Order-dependent sums of word hashes; word positions count from the chunk's start.
                 place = np.arange(len(w.start)) - np.repeat(at, counts)
                 total = np.zeros(len(w.hash) + 1, dtype=np.uint64)
                 np.cumsum(mix(w.hash + mix(place.astype(np.uint64))), out=total[1:])
                 digest = mix(total[ends] - total[at] + counts.astype(np.uint64))
                 points = code_points(block.data)
-                base = points[block.bounds[row]] if len(at) else np.zeros(0, np.int64)
+                base = points[block.bounds[row]]
                 first_chunk = np.searchsorted(row, row)
                 yield pa.RecordBatch.from_arrays(
                     [
