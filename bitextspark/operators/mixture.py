@@ -42,10 +42,12 @@ def draw_task(batch_id: Column, weights: list[tuple[str, float]], seed: int = DE
 def mixture_loss(
     log: DataFrame, weights: list[tuple[str, float]], base_task: str = "base", assume_reduced: bool = False
 ) -> DataFrame:
-    """Per update: sum of loss * weight (times the number of tasks for reduced losses)."""
+    """Per update: sum of loss * weight (times the number of tasks for reduced losses).
+    A logged task without a weight raises: its loss would be lost while its size counts."""
     factor = len(weights) if assume_reduced else 1
     lookup = F.create_map(*[F.lit(x) for pair in weights for x in pair])
-    weighted = F.col("loss") * F.try_element_at(lookup, F.col("task")) * factor
+    missing = F.raise_error(F.concat(F.lit("no weight for task "), F.coalesce(F.col("task"), F.lit("null")))).cast("double")
+    weighted = F.col("loss") * F.coalesce(F.try_element_at(lookup, F.col("task")), missing) * factor
     return log.groupBy("update").agg(
         F.round(F.sum(weighted), 6).alias("loss"),
         F.sum("size").alias("sample_size"),

@@ -30,7 +30,11 @@ def characters(text: Column) -> Column:
 
 
 def hypotheses_with_references(hyps: DataFrame, refs: DataFrame, key: str = "id") -> DataFrame:
-    return hyps.join(refs, key)
+    """Every reference with its hypothesis; a missing hypothesis counts as an empty one, so
+    it lowers the score instead of leaving it."""
+    hyp_columns = [c for c in hyps.columns if c != key]
+    joined = refs.join(hyps, key, "left")
+    return joined.select(key, *[F.coalesce(c, F.lit("")).alias(c) if c == "hyp" else c for c in hyp_columns], *[c for c in refs.columns if c != key])
 
 
 def _match_counter(orders: list[int], words: bool):

@@ -94,13 +94,15 @@ def _(spark, sf):
 @query(
     "src8_epoch_scan",
     """SELECT pair_id, 'shuf' AS task, array_to_string(list(len(w)+4 ORDER BY k), ' ') AS ids FROM (
-         SELECT pair_id, tt[i] AS w, md5(concat_ws('|','17','shuf',2,pair_id,i-1)) AS k FROM cp, unnest(range(1, len(tt)+1)) u(i)) GROUP BY pair_id""",
+         SELECT pair_id, tt[i] AS w, md5(concat_ws('|','17','shuf',2,pair_id,i-1)) AS k FROM cp, unnest(range(1, len(tt)+1)) u(i)) GROUP BY pair_id
+       UNION ALL SELECT pair_id, 'base', array_to_string(list_transform(tt, lambda w: len(w)+4), ' ') FROM cp
+       UNION ALL SELECT pair_id, 'rev', array_to_string(list_reverse(list_transform(tt, lambda w: len(w)+4)), ' ') FROM cp""",
     "cp",
 )
 def _(spark, sf):
-    # Training epoch 4 of 2 precomputed epochs reads directory epoch=2.
+    # Training epoch 4 of 2 precomputed epochs: resampled tasks from epoch=2, the others from epoch=1.
     path = _write_versions(spark, sf, [TaskSpec("shuf"), TaskSpec("rev")], 2)
-    return tb.read_epoch(spark, path, 4, 2).select("pair_id", "task", ids_text(F.col("tgt_ids")).alias("ids"))
+    return tb.read_epoch(spark, path, 4, 2, ("shuf",)).select("pair_id", "task", ids_text(F.col("tgt_ids")).alias("ids"))
 
 
 @query(

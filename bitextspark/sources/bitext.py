@@ -9,30 +9,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bitextspark.functions import text as tx
-from bitextspark.scale import broadcast_if_small, materialise
+from bitextspark.scale import broadcast_if_small, materialise, scratch_path
 
 
 def read_numbered_lines(spark: SparkSession, path: str | Sequence[str], name: str = "value") -> DataFrame:
-    """`(line_no, <name>)` of text files in path order, 1-based over all files.
-
-    Each row knows its file, the block it was read from and its place in the task, so
-    only one offset per block is needed: a count per block and a running sum over
-    blocks (some 10^6 rows for 100 TB). Blank lines count; compressed files are one
-    block each.
+    """`(line_no, <name>)` of text files, 1-based over all files: paths in the given order,
+    files of a folder by name.
+
+    The lines are copied once to the scratch folder, each with its file, the block it was
+    read from and its place in the task. Offsets and rows both come from that copy, so it
+    does not matter whether a later scan would be cut at other borders. One offset per
+    block is needed: a count per block and a running sum over blocks (some 10^6 rows for
+    100 TB). Blank lines count; compressed files are one block each.
     """
-    raw = spark.read.text(path if isinstance(path, str) else list(path)).select(
-        F.col("value").alias(name),
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__row"),
-    )
-    before = W.orderBy("__file", "__block").rowsBetween(W.unboundedPreceding, -1)
+    paths = [path] if isinstance(path, str) else list(path)
+    raw: DataFrame | None = None
+    for k, one in enumerate(paths):
+        lines = spark.read.text(one).select(
+            F.col("value").alias(name),
+            F.lit(k).alias("__path"),
+            F.col("_metadata.file_path").alias("__file"),
+            F.col("_metadata.file_block_start").alias("__block"),
+        )
+        raw = lines if raw is None else raw.unionByName(lines)
+    copy = scratch_path(spark, "lines")
+    raw.withColumn("__row", F.monotonically_increasing_id()).write.parquet(copy)
+    kept = spark.read.parquet(copy)
+    before = W.orderBy("__path", "__file", "__block").rowsBetween(W.unboundedPreceding, -1)
     blocks = materialise(
-        raw.groupBy("__file", "__block")
+        kept.groupBy("__path", "__file", "__block")
         .agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
-        .select("__file", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        .select("__path", "__file", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     )
-    return raw.join(broadcast_if_small(blocks, ["__file"]), ["__file", "__block"]).select(
+    return kept.join(broadcast_if_small(blocks, ["__file"]), ["__path", "__file", "__block"]).select(
         (F.col("__before") + F.col("__row") - F.col("__first") + 1).alias("line_no"), name
     )
 
@@ -46,7 +55,7 @@ def read_bitext(spark: SparkSession, src_path: str, tgt_path: str, mark: str = "
     src = read_numbered_lines(spark, src_path, "src")
     tgt = read_numbered_lines(spark, tgt_path, "tgt")
     if check:
-        n_src, n_tgt = spark.read.text(src_path).count(), spark.read.text(tgt_path).count()
+        n_src, n_tgt = src.count(), tgt.count()
         if n_src != n_tgt:
             raise ValueError(f"sides differ: {n_src} and {n_tgt} lines")
     return zip_lines(src, tgt).select(

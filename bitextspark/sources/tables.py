@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitextspark.functions import text as tx
-from bitextspark.operators.tasks import rotate_epoch
+from bitextspark.operators.tasks import epoch_view
 from bitextspark.sources.bitext import path_exists
 
 METRIC_SCHEMA = "tag string, step bigint, value double"
@@ -19,10 +19,10 @@ METRIC_SCHEMA = "tag string, step bigint, value double"
 def write_encoded(df: DataFrame, path: str, partition: tuple[str, ...] = ("split", "epoch", "task"), mode: str = "overwrite") -> None:
     """Token-id rows as parquet, one directory per split, epoch and task.
 
-    Rows stay where they are: each task adds its own file to a directory, so a task
-    that holds a third of the corpus is still written by many tasks.
+    Rows are rebalanced by directory first: small directories are gathered into one file,
+    and a directory that holds a third of the corpus is split over many tasks.
     """
-    df.write.mode(mode).partitionBy(*partition).option("compression", "zstd").parquet(path)
+    df.hint("rebalance", *partition).write.mode(mode).partitionBy(*partition).option("compression", "zstd").parquet(path)
 
 
 def read_encoded(spark: SparkSession, path: str) -> DataFrame:
@@ -34,11 +34,11 @@ def list_auxiliaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where("task <> 'base'").select("task").distinct()
 
 
-def read_epoch(spark: SparkSession, path: str, epoch: int, epochs: int) -> DataFrame:
-    """Rows of the precomputed epoch that serves training epoch `epoch`; the filter is
-    on the partition column, so the other directories are not read."""
-    df = spark.read.parquet(path)
-    return df.where(F.col("epoch") == rotate_epoch(epoch, epochs)) if epochs else df
+def read_epoch(spark: SparkSession, path: str, epoch: int, epochs: int, resampled: tuple[str, ...]) -> DataFrame:
+    """Rows that training epoch `epoch` sees: resampled tasks from the precomputed epoch
+    that serves it, the base and fixed tasks from epoch 1. The filters are on partition
+    columns, so the other directories are not read."""
+    return epoch_view(spark.read.parquet(path), epoch, epochs, resampled)
 
 
 def append_metrics(df: DataFrame, path: str) -> None:
@@ -74,5 +74,7 @@ def run_stage(
     """
     path = stage_path(root, stage, config)
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").partitionBy(*partition).parquet(path)
+        rows = build()
+        rows = rows.hint("rebalance", *partition) if partition else rows
+        rows.write.mode("overwrite").partitionBy(*partition).parquet(path)
     return spark.read.parquet(path)

@@ -339,3 +339,37 @@ def test_corpus_build_stages(spark, tmp_path):
     encoded = build.encoded()
     assert encoded.count() == len(rows)
     assert encoded.where("array_contains(src_ids, 3) or array_contains(tgt_ids, 3)").where("epoch = 1").count() == 0
+
+
+def test_numbered_lines_survive_other_splits(spark, tmp_path):
+    """Lines keep their numbers when the scan is cut differently between build and action."""
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(20_000)))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes") if spark.conf.get(k, None)}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.minPartitionNum", "4")
+        lines = bt.read_numbered_lines(spark, [str(tmp_path / "b.txt"), str(tmp_path / "a.txt")])
+        spark.conf.set("spark.sql.files.minPartitionNum", "16")
+        got = {r.line_no: r.value for r in lines.collect()}
+    finally:
+        for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"):
+            spark.conf.set(k, saved[k]) if k in saved else spark.conf.unset(k)
+    assert len(got) == 40_000
+    assert (got[1], got[20_000], got[20_001], got[40_000]) == ("b0", "b19999", "a0", "a19999")
+
+
+def test_missing_hypothesis_lowers_the_score(spark):
+    from bitextspark.operators.scoring import hypotheses_with_references
+
+    refs = spark.createDataFrame([(1, "a b"), (2, "c d")], "id bigint, ref string")
+    hyps = spark.createDataFrame([(1, "a b")], "id bigint, hyp string")
+    assert {(r.id, r.hyp) for r in hypotheses_with_references(hyps, refs).collect()} == {(1, "a b"), (2, "")}
+
+
+def test_loss_without_weight_raises(spark):
+    from bitextspark.operators.mixture import mixture_loss
+
+    log = spark.createDataFrame([(1, "base", 1.0, 10), (1, "other", 1.0, 10)], "update bigint, task string, loss double, size bigint")
+    with pytest.raises(Exception, match="no weight for task other"):
+        mixture_loss(log, [("base", 1.0)]).collect()
