@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitextspark.llm.components import _store, connected
+from bitextspark.llm.components import _store, connected, extended
 from bitextspark.llm.words import blocks, mix, window_hash, words
 from bitextspark.scale import broadcast_if_small
 
@@ -232,8 +232,10 @@ def _sets(docs: DataFrame, cfg: NearDuplicates) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, cfg: NearDuplicates) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b) whose full sets reach the threshold, as a written table."""
     pairs = _store(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = _store(_sets(docs.join(broadcast_if_small(needed, ()), "id", "left_semi"), cfg), "sets")
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
@@ -252,7 +254,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, cfg: NearDuplicates) -> DataFr
             kept = batch.filter(pa.array(hit, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return _store(both.mapInArrow(run, "a bigint, b bigint"), "confirmed")
 
 
 def _leaders(members: DataFrame) -> DataFrame:
@@ -345,8 +347,11 @@ def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
     return labelled.join(sizes.where("mixed").drop("mixed"), "bucket")
 
 
-def _joined(links: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if links is None else links.unionByName(more)
+def _linked(components: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components `(id, component)` with the links of `found(a, b)`."""
+    if components is None:
+        return _store(connected(found), "components")
+    return components if found.isEmpty() else _store(extended(components, found), "components")
 
 
 def link(docs: DataFrame, cfg: NearDuplicates = NearDuplicates(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -363,13 +368,12 @@ def link(docs: DataFrame, cfg: NearDuplicates = NearDuplicates(), doc_id: str =
     classes = some.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.min_by(own, "id").alias("own"))
     reps = _store(classes.select("id", "size", "d1", "d2", F.col("own.n_shingles").alias("n"), "own.bands", "own.sketch"), "classes")
     members = reps.select("id", "n", F.explode("bands").alias("bucket")).distinct()
-    links: DataFrame | None = None
+    components: DataFrame | None = None
     while True:
         met = _store(_leaders(members), "buckets")
         others = met.where(F.col("id") != F.col("head.id"))
         pairs = others.where(_close(cfg)).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
-        links = _joined(links, _store(_confirmed(pairs, source, cfg), "confirmed"))
-        components = _store(connected(links), "components")
+        components = _linked(components, _confirmed(pairs, source, cfg))
         left = _store(_mixed(others.select("bucket", "id", "n"), components), "open")
         small = left.where(F.col("left") <= BLOCK).select("bucket", "id", "n").join(reps.select("id", "sketch"), "id")
         tested = pairs
@@ -377,10 +381,7 @@ def link(docs: DataFrame, cfg: NearDuplicates = NearDuplicates(), doc_id: str =
             near = _store(_compared(_mixed(small, components), cfg, quota), "near")
             if near.isEmpty():
                 break
-            found = _store(_confirmed(near.join(tested, ["a", "b"], "left_anti"), source, cfg), "confirmed")
-            if not found.isEmpty():
-                links = _joined(links, found)
-                components = _store(connected(links), "components")
+            components = _linked(components, _confirmed(near.join(tested, ["a", "b"], "left_anti"), source, cfg))
             tested = tested.unionByName(near)
         large = left.where(F.col("left") > BLOCK)
         if large.isEmpty():
