@@ -44,7 +44,7 @@ _REPLAYED = 6
 #: Most members of a bucket that are compared inside one task.
 BLOCK = 1024
 #: Pairs of a member in each round of comparisons; the last round takes all.
-QUOTAS = (1, 16, BLOCK)
+QUOTAS = (1, BLOCK)
 
 
 @dataclass(frozen=True)
@@ -268,12 +268,18 @@ def _close(cfg: NearDuplicates):
     return 100 * F.least("n", "head.n") >= cfg.percent * F.greatest("n", "head.n")
 
 
-def _near(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, cfg: NearDuplicates, quota: int) -> list[tuple[int, int]]:
+def _near(
+    bucket: int, ids: np.ndarray, buckets: list, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, cfg: NearDuplicates, quota: int
+) -> list[tuple[int, int]]:
     """Pairs of different components in one bucket whose estimate comes near the threshold,
     for each member those with its `quota` most similar ones.
 
     Pairs are taken from the most similar down. A pair of at least `threshold + margin` is
-    sure to be confirmed, so pairs that such pairs connect already are left out."""
+    sure to be confirmed, so pairs that such pairs connect already are left out. Members
+    that share several of their `buckets` are a pair in the smallest one only. Members come
+    by id, so pairs have one order in all buckets, and what is left out in one is connected by
+    earlier pairs that other buckets return.
+    """
     low, high = cfg.percent / 100 - cfg.margin, cfg.percent / 100 + cfg.margin
     found: list[tuple[float, int, int]] = []
     for i in range(len(ids)):
@@ -298,14 +304,16 @@ def _near(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndar
     for minus, i, j in sorted(set(found)):
         x, y = root(int(component[i])), root(int(component[j]))
         if x != y:
-            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+            if min(buckets[i] & buckets[j]) == bucket:
+                out.append((int(ids[i]), int(ids[j])))
             if -minus >= high:
                 parent[x] = y
     return out
 
 
-def _compared(members: DataFrame, cfg: NearDuplicates, quota: int) -> DataFrame:
-    """Near pairs `(a, b)` of buckets `(bucket, id, n, component, sketch)` of at most `BLOCK` rows."""
+def _compared(members: DataFrame, sketches: DataFrame, cfg: NearDuplicates, quota: int) -> DataFrame:
+    """Near pairs `(a, b)`, each once, of buckets `(bucket, id, n, component)` of at most `BLOCK`
+    rows; `sketches` has `(id, sketch)`."""
 
     def groups(batches: Iterator[pa.RecordBatch]):
         held: list[pa.RecordBatch] = []
@@ -327,16 +335,24 @@ def _compared(members: DataFrame, cfg: NearDuplicates, quota: int) -> DataFrame:
                 continue
             ids, n, component = (table.column(c).to_numpy() for c in ("id", "n", "component"))
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-            pairs: set[tuple[int, int]] = set()
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                pairs.update(_near(ids[a:b], n[a:b], component[a:b], sketch[a:b], cfg, quota))
-            ordered = sorted(pairs)
+            keys = table.column("bucket").to_numpy()
+            pairs: list[tuple[int, int]] = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                buckets = [set(x) for x in table.column("buckets").slice(a, b - a).to_pylist()]
+                pairs += _near(int(keys[a]), ids[a:b], buckets, n[a:b], component[a:b], sketch[a:b], cfg, quota)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in ordered], pa.int64()), pa.array([p[1] for p in ordered], pa.int64())], names=["a", "b"]
+                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"]
             )
 
-    placed = members.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "id", "n", "component", "sketch")
-    return placed.mapInArrow(run, "a bigint, b bigint").distinct()
+    # A member's buckets are at most its bands, or pairs of bands in finer buckets. Exploding
+    # them below the repartition matters: after a join on `bucket` Spark would drop the
+    # repartition and could then split a bucket as a skewed part of that join.
+    by_id = members.groupBy("id").agg(
+        F.first("n").alias("n"), F.first("component").alias("component"), F.collect_set("bucket").alias("buckets")
+    )
+    placed = by_id.join(sketches, "id").withColumn("bucket", F.explode("buckets")).repartition("bucket")
+    ordered = placed.sortWithinPartitions("bucket", "id").select("bucket", "id", "n", "component", "sketch", "buckets")
+    return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
 def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -375,10 +391,10 @@ def link(docs: DataFrame, cfg: NearDuplicates = NearDuplicates(), doc_id: str =
         pairs = others.where(_close(cfg)).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
         components = _linked(components, _confirmed(pairs, source, cfg))
         left = _store(_mixed(others.select("bucket", "id", "n"), components), "open")
-        small = left.where(F.col("left") <= BLOCK).select("bucket", "id", "n").join(reps.select("id", "sketch"), "id")
+        small = left.where(F.col("left") <= BLOCK).select("bucket", "id", "n")
         tested = pairs
         for quota in QUOTAS:
-            near = _store(_compared(_mixed(small, components), cfg, quota), "near")
+            near = _store(_compared(_mixed(small, components), reps.select("id", "sketch"), cfg, quota), "near")
             if near.isEmpty():
                 break
             components = _linked(components, _confirmed(near.join(tested, ["a", "b"], "left_anti"), source, cfg))
