@@ -236,7 +236,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, cfg: NearDuplicates) -> DataFr
     pairs = _store(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = [pairs.select(F.col(x).alias("id")).distinct() for x in "ab"]
+    needed = _store(ends[0].unionByName(ends[1]).distinct(), "needed")
     sets = _store(_sets(docs.join(broadcast_if_small(needed, ()), "id", "left_semi"), cfg), "sets")
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
