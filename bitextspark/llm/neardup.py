@@ -14,7 +14,9 @@ Links are found in four steps.
 3. Compared pairs are confirmed on full shingle sets.
 4. What is left are buckets whose other members are not in one component yet. Their
    signatures (a byte for each slot) are compared inside the task, and pairs whose
-   estimate comes near the threshold are confirmed on full sets as well: first the most
+   estimate comes near the threshold are confirmed on full sets as well. These pairs are
+   never rows: a bucket lists them in cells of bounded size, each set is sent once to every
+   cell that needs it, and only confirmed links come out. A round takes first the most
    similar one of each member, and more (`QUOTAS`, at last all) only where components
    still meet in a bucket, so a group of linked copies needs few pairs. Buckets of more
    than `BLOCK` such members are first split by a second (third, ...) band: a pair above
@@ -45,6 +47,8 @@ _REPLAYED = 6
 BLOCK = 1024
 #: Pairs of a member in each round of comparisons; the last round takes all.
 QUOTAS = (1, BLOCK)
+#: Shingles of one half of a cell (8 bytes each): a task holds two halves at a time.
+HALF = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -231,14 +235,25 @@ def _sets(docs: DataFrame, cfg: NearDuplicates) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, set binary")
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, cfg: NearDuplicates) -> DataFrame:
+    needed = _store(ids.distinct(), "needed")
+    return _store(_sets(docs.join(broadcast_if_small(needed, ()), "id", "left_semi"), cfg), "sets")
+
+
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    merged = np.concatenate([one, two])
+    merged.sort()
+    common = int((merged[1:] == merged[:-1]).sum())
+    return 100 * common >= percent * (len(merged) - common)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, cfg: NearDuplicates) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as a written table."""
     pairs = _store(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
     ends = [pairs.select(F.col(x).alias("id")).distinct() for x in "ab"]
-    needed = _store(ends[0].unionByName(ends[1]).distinct(), "needed")
-    sets = _store(_sets(docs.join(broadcast_if_small(needed, ()), "id", "left_semi"), cfg), "sets")
+    sets = _sets_of(ends[0].unionByName(ends[1]), docs, cfg)
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
     percent = cfg.percent
@@ -248,16 +263,46 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, cfg: NearDuplicates) -> DataFr
             hit = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 one, two = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                merged = np.concatenate([one, two])
-                merged.sort()
-                common = int((merged[1:] == merged[:-1]).sum())
-                hit.append(100 * common >= percent * (len(merged) - common))
+                hit.append(_similar(one, two, percent))
             kept = batch.filter(pa.array(hit, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     return _store(both.mapInArrow(run, "a bigint, b bigint"), "confirmed")
 
 
+def _confirmed_cells(cells: DataFrame, docs: DataFrame, cfg: NearDuplicates) -> DataFrame:
+    """The pairs of `CELLS` whose full sets reach the threshold, as a written table of `(a, b)`."""
+    listed = cells.select("bucket", "part", F.explode("ids").alias("id"))
+    sets = _sets_of(listed.select("id"), docs, cfg)
+    percent = cfg.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: tuple[list[int], list[int], list[int]] = ([], [], [])
+        held: dict[int, list[np.ndarray]] = {}
+
+        def links() -> pa.RecordBatch:
+            ids, i, j = cell
+            near = [
+                (ids[x], ids[y])
+                for x, y in zip(i, j)
+                if any(_similar(p, q, percent) for p in held.get(ids[x], ()) for q in held.get(ids[y], ()))
+            ]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in near], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for id, raw, *lists in zip(*(batch.column(c) for c in ("id", "set", "ids", "i", "j"))):
+                if id.is_valid:
+                    held.setdefault(id.as_py(), []).append(np.frombuffer(raw.as_py(), dtype=np.uint64))
+                else:  # the list of a cell comes before its sets
+                    yield links()
+                    cell, held = tuple(x.as_py() for x in lists), {}
+        yield links()
+
+    placed = cells.unionByName(listed.join(sets, "id"), allowMissingColumns=True).repartition("bucket", "part")
+    ordered = placed.sortWithinPartitions("bucket", "part", F.col("id").asc_nulls_first())
+    return _store(ordered.select("id", "set", "ids", "i", "j").mapInArrow(run, "a bigint, b bigint"), "confirmed")
+
+
 def _leaders(members: DataFrame) -> DataFrame:
     """Members `(bucket, id, n)` of buckets of two or more, with the bucket's smallest id."""
     heads = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("size"))
@@ -271,9 +316,9 @@ def _close(cfg: NearDuplicates):
 
 def _near(
     bucket: int, ids: np.ndarray, buckets: list, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, cfg: NearDuplicates, quota: int
-) -> list[tuple[int, int]]:
-    """Pairs of different components in one bucket whose estimate comes near the threshold,
-    for each member those with its `quota` most similar ones.
+) -> np.ndarray:
+    """Pairs (two rows of positions) of different components in one bucket whose estimate comes
+    near the threshold, for each member those with its `quota` most similar ones.
 
     Pairs are taken from the most similar down. A pair of at least `threshold + margin` is
     sure to be confirmed, so pairs that such pairs connect already are left out. Members
@@ -282,17 +327,29 @@ def _near(
     earlier pairs that other buckets return.
     """
     low, high = cfg.percent / 100 - cfg.margin, cfg.percent / 100 + cfg.margin
-    found: list[tuple[float, int, int]] = []
+    every = quota >= len(ids)
+    found: list[np.ndarray] = []
+    estimates: list[np.ndarray] = []
     for i in range(len(ids)):
-        other = np.flatnonzero(
-            (component != component[i]) & (100 * np.minimum(n, n[i]) >= cfg.percent * np.maximum(n, n[i]))
+        start = i + 1 if every else 0  # with all pairs, each is met from its smaller end
+        fits = (component[start:] != component[i]) & (
+            100 * np.minimum(n[start:], n[i]) >= cfg.percent * np.maximum(n[start:], n[i])
         )
+        other = np.flatnonzero(fits) + start
         if len(other):
             estimate = (sketch[other] == sketch[i]).mean(axis=1)
-            best = np.lexsort((ids[other], -estimate))[:quota]
-            found += [(-e, min(i, j), max(i, j)) for e, j in zip(estimate[best].tolist(), other[best].tolist()) if e >= low]
+            if not every:
+                best = np.lexsort((ids[other], -estimate))[:quota]
+                other, estimate = other[best], estimate[best]
+            other, estimate = other[estimate >= low], estimate[estimate >= low]
+            found.append(np.stack([np.minimum(other, i), np.maximum(other, i)]).astype(np.int32))
+            estimates.append(estimate)
     if not found:
-        return []
+        return np.zeros((2, 0), dtype=np.int32)
+    pairs, at = np.unique(np.concatenate(found, axis=1), axis=1, return_index=True)
+    estimate = np.concatenate(estimates)[at]
+    order = np.lexsort((pairs[1], pairs[0], -estimate))
+    pairs, sure = pairs[:, order], estimate[order] >= high
     parent = {c: c for c in component.tolist()}
 
     def root(c: int) -> int:
@@ -301,19 +358,37 @@ def _near(
             c = parent[c]
         return c
 
-    out = []
-    for minus, i, j in sorted(set(found)):
-        x, y = root(int(component[i])), root(int(component[j]))
+    chosen = np.zeros(len(sure), dtype=bool)
+    for k in np.flatnonzero(sure).tolist():
+        x, y = (root(int(component[p])) for p in pairs[:, k])
         if x != y:
-            if min(buckets[i] & buckets[j]) == bucket:
-                out.append((int(ids[i]), int(ids[j])))
-            if -minus >= high:
-                parent[x] = y
-    return out
+            parent[x] = y
+            chosen[k] = True
+    roots = np.array([root(c) for c in component.tolist()])
+    chosen |= ~sure & (roots[pairs[0]] != roots[pairs[1]])
+    pairs = pairs[:, chosen]
+    here = [min(buckets[i] & buckets[j]) == bucket for i, j in zip(*pairs.tolist())]
+    return pairs[:, np.array(here, dtype=bool)]
+
+
+CELLS = "bucket bigint, part bigint, ids array<bigint>, i array<int>, j array<int>"
+
+
+def _cells(pairs: np.ndarray, ids: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of positions cut into cells `(part, ids, i, j)`, `i` and `j` being positions in the
+    cell's ids. A cell takes pairs between two runs of members of about `HALF` shingles each
+    (or one longer member), so its sets have bounded size."""
+    run = (np.cumsum(n) - n) // HALF
+    part = run[pairs[0]] * (run[-1] + 1) + run[pairs[1]]
+    for p in np.unique(part).tolist():
+        mine = pairs[:, part == p]
+        used, local = np.unique(mine, return_inverse=True)
+        i, j = local.reshape(mine.shape).astype(np.int32)
+        yield p, ids[used], i, j
 
 
 def _compared(members: DataFrame, sketches: DataFrame, cfg: NearDuplicates, quota: int) -> DataFrame:
-    """Near pairs `(a, b)`, each once, of buckets `(bucket, id, n, component)` of at most `BLOCK`
+    """`CELLS` with each near pair once, of buckets `(bucket, id, n, component)` of at most `BLOCK`
     rows; `sketches` has `(id, sketch)`."""
 
     def groups(batches: Iterator[pa.RecordBatch]):
@@ -337,13 +412,15 @@ def _compared(members: DataFrame, sketches: DataFrame, cfg: NearDuplicates, quot
             ids, n, component = (table.column(c).to_numpy() for c in ("id", "n", "component"))
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
             keys = table.column("bucket").to_numpy()
-            pairs: list[tuple[int, int]] = []
+            out: list[tuple] = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 buckets = [set(x) for x in table.column("buckets").slice(a, b - a).to_pylist()]
-                pairs += _near(int(keys[a]), ids[a:b], buckets, n[a:b], component[a:b], sketch[a:b], cfg, quota)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"]
-            )
+                pairs = _near(int(keys[a]), ids[a:b], buckets, n[a:b], component[a:b], sketch[a:b], cfg, quota)
+                out += [(int(keys[a]), *cell) for cell in _cells(pairs, ids[a:b], n[a:b])]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            columns = zip(*out) if out else [()] * len(kinds)
+            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "part", "ids", "i", "j"])
 
     # A member's buckets are at most its bands, or pairs of bands in finer buckets. Exploding
     # them below the repartition matters: after a join on `bucket` Spark would drop the
@@ -353,7 +430,7 @@ def _compared(members: DataFrame, sketches: DataFrame, cfg: NearDuplicates, quot
     )
     placed = by_id.join(sketches, "id").withColumn("bucket", F.explode("buckets")).repartition("bucket")
     ordered = placed.sortWithinPartitions("bucket", "id").select("bucket", "id", "n", "component", "sketch", "buckets")
-    return ordered.mapInArrow(run, "a bigint, b bigint")
+    return ordered.mapInArrow(run, CELLS)
 
 
 def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -393,13 +470,11 @@ def link(docs: DataFrame, cfg: NearDuplicates = NearDuplicates(), doc_id: str =
         components = _linked(components, _confirmed(pairs, source, cfg))
         left = _store(_mixed(others.select("bucket", "id", "n"), components), "open")
         small = left.where(F.col("left") <= BLOCK).select("bucket", "id", "n")
-        tested = pairs
         for quota in QUOTAS:
-            near = _store(_compared(_mixed(small, components), reps.select("id", "sketch"), cfg, quota), "near")
+            near = _store(_compared(_mixed(small, components), reps.select("id", "sketch"), cfg, quota), "cells")
             if near.isEmpty():
                 break
-            components = _linked(components, _confirmed(near.join(tested, ["a", "b"], "left_anti"), source, cfg))
-            tested = tested.unionByName(near)
+            components = _linked(components, _confirmed_cells(near, source, cfg))
         large = left.where(F.col("left") > BLOCK)
         if large.isEmpty():
             break
