@@ -346,8 +346,10 @@ def _near(
             estimates.append(estimate)
     if not found:
         return np.zeros((2, 0), dtype=np.int32)
-    pairs, at = np.unique(np.concatenate(found, axis=1), axis=1, return_index=True)
-    estimate = np.concatenate(estimates)[at]
+    pairs, estimate = np.concatenate(found, axis=1), np.concatenate(estimates)
+    if not every:  # two members may have named each other
+        _, at = np.unique(pairs[0].astype(np.int64) * len(ids) + pairs[1], return_index=True)
+        pairs, estimate = pairs[:, at], estimate[at]
     order = np.lexsort((pairs[1], pairs[0], -estimate))
     pairs, sure = pairs[:, order], estimate[order] >= high
     parent = {c: c for c in component.tolist()}

@@ -194,6 +194,21 @@ def test_super_minhash_estimates_similarity():
     assert sorted(alone.tolist()) == list(range(252))
 
 
+def test_cells_hold_every_pair_once_in_bounded_size(monkeypatch):
+    monkeypatch.setattr(neardup, "HALF", 100)
+    ids = np.arange(40, dtype=np.int64) * 7
+    n = np.tile(np.array([30, 60, 10, 250], dtype=np.int64), 10)
+    pairs = np.array([(i, j) for i in range(40) for j in range(i + 1, 40)], dtype=np.int32).T
+    size = dict(zip(ids.tolist(), n.tolist()))
+    seen, parts = [], set()
+    for part, used, i, j in neardup._cells(pairs, ids, n):
+        parts.add(part)
+        assert sum(size[x] for x in used.tolist()) <= 2 * (100 + 250)
+        seen += zip(used[i].tolist(), used[j].tolist())
+    assert len(parts) > 1
+    assert sorted(seen) == sorted(zip(ids[pairs[0]].tolist(), ids[pairs[1]].tolist()))
+
+
 def test_connected_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (200, 101), (None, 3)]
     got = {r.id: r.component for r in connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
