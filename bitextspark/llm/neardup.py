@@ -18,9 +18,11 @@ Links are found in four steps.
    never rows: a bucket lists them in cells of bounded size, each set is sent once to every
    cell that needs it, and only confirmed links come out. A round takes first the most
    similar one of each member, and more (`QUOTAS`, at last all) only where components
-   still meet in a bucket, so a group of linked copies needs few pairs. Buckets of more
-   than `BLOCK` such members are first split by a second (third, ...) band: a pair above
-   the threshold shares many bands, so it meets again in the finer buckets.
+   still meet in a bucket, so a group of linked copies needs few pairs. The members
+   of a bucket are cut into runs of about `BLOCK`, a component of more members having runs of
+   its own, and each two runs are compared in a task of their own. Runs of one component
+   are not compared, so a large group of linked copies meets the few others once; members
+   that no link joins are all compared with each other, whatever the size of the bucket.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bitextspark.llm.components import _store, connected, extended
@@ -43,7 +46,7 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Explicit permutations are kept for so many elements at a time.
 _SLICE = 20_000
 _REPLAYED = 6
-#: Most members of a bucket that are compared inside one task.
+#: Members of a run (about): a task compares two runs of a bucket at a time.
 BLOCK = 1024
 #: Pairs of a member in each round of comparisons; the last round takes all.
 QUOTAS = (1, BLOCK)
@@ -272,7 +275,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, cfg: NearDuplicates) -> DataFr
 
 def _confirmed_cells(cells: DataFrame, docs: DataFrame, cfg: NearDuplicates) -> DataFrame:
     """The pairs of `CELLS` whose full sets reach the threshold, as a written table of `(a, b)`."""
-    listed = cells.select("bucket", "part", F.explode("ids").alias("id"))
+    listed = cells.select("bucket", "cell", "part", F.explode("ids").alias("id"))
     sets = _sets_of(listed.select("id"), docs, cfg)
     percent = cfg.percent
 
@@ -298,8 +301,8 @@ def _confirmed_cells(cells: DataFrame, docs: DataFrame, cfg: NearDuplicates) ->
                     cell, held = tuple(x.as_py() for x in lists), {}
         yield links()
 
-    placed = cells.unionByName(listed.join(sets, "id"), allowMissingColumns=True).repartition("bucket", "part")
-    ordered = placed.sortWithinPartitions("bucket", "part", F.col("id").asc_nulls_first())
+    placed = cells.unionByName(listed.join(sets, "id"), allowMissingColumns=True).repartition("bucket", "cell", "part")
+    ordered = placed.sortWithinPartitions("bucket", "cell", "part", F.col("id").asc_nulls_first())
     return _store(ordered.select("id", "set", "ids", "i", "j").mapInArrow(run, "a bigint, b bigint"), "confirmed")
 
 
@@ -315,19 +318,29 @@ def _close(cfg: NearDuplicates):
 
 
 def _near(
-    bucket: int, ids: np.ndarray, buckets: list, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, cfg: NearDuplicates, quota: int
+    bucket: int,
+    ids: np.ndarray,
+    buckets: list,
+    run: np.ndarray,
+    crossed: bool,
+    n: np.ndarray,
+    component: np.ndarray,
+    sketch: np.ndarray,
+    cfg: NearDuplicates,
+    quota: int,
 ) -> np.ndarray:
-    """Pairs (two rows of positions) of different components in one bucket whose estimate comes
-    near the threshold, for each member those with its `quota` most similar ones.
+    """Pairs (two rows of positions) of different components in one cell of a bucket whose
+    estimate comes near the threshold, for each member those with its `quota` most similar ones
+    (from `BLOCK` on: all). A `crossed` cell has two runs and pairs between them only.
 
     Pairs are taken from the most similar down. A pair of at least `threshold + margin` is
     sure to be confirmed, so pairs that such pairs connect already are left out. Members
     that share several of their `buckets` are a pair in the smallest one only. Members come
-    by id, so pairs have one order in all buckets, and what is left out in one is connected by
-    earlier pairs that other buckets return.
+    by id, so pairs have one order in all cells, and what is left out in one is connected by
+    earlier pairs that other cells return.
     """
     low, high = cfg.percent / 100 - cfg.margin, cfg.percent / 100 + cfg.margin
-    every = quota >= len(ids)
+    every = quota >= BLOCK
     found: list[np.ndarray] = []
     estimates: list[np.ndarray] = []
     for i in range(len(ids)):
@@ -335,6 +348,8 @@ def _near(
         fits = (component[start:] != component[i]) & (
             100 * np.minimum(n[start:], n[i]) >= cfg.percent * np.maximum(n[start:], n[i])
         )
+        if crossed:
+            fits &= run[start:] != run[i]
         other = np.flatnonzero(fits) + start
         if len(other):
             estimate = (sketch[other] == sketch[i]).mean(axis=1)
@@ -373,7 +388,7 @@ def _near(
     return pairs[:, np.array(here, dtype=bool)]
 
 
-CELLS = "bucket bigint, part bigint, ids array<bigint>, i array<int>, j array<int>"
+CELLS = "bucket bigint, cell bigint, part bigint, ids array<bigint>, i array<int>, j array<int>"
 
 
 def _cells(pairs: np.ndarray, ids: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -390,8 +405,8 @@ def _cells(pairs: np.ndarray, ids: np.ndarray, n: np.ndarray) -> Iterator[tuple[
 
 
 def _compared(members: DataFrame, sketches: DataFrame, cfg: NearDuplicates, quota: int) -> DataFrame:
-    """`CELLS` with each near pair once, of buckets `(bucket, id, n, component)` of at most `BLOCK`
-    rows; `sketches` has `(id, sketch)`."""
+    """`CELLS` with each near pair once, of buckets of `(id, n, component, place)`; `sketches` has
+    `(id, sketch)`."""
 
     def groups(batches: Iterator[pa.RecordBatch]):
         held: list[pa.RecordBatch] = []
@@ -399,10 +414,10 @@ def _compared(members: DataFrame, sketches: DataFrame, cfg: NearDuplicates, quot
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([*held, batch])
-            keys = table.column("bucket").to_numpy()
-            cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            keys, cells = (table.column(c).to_numpy() for c in ("bucket", "cell"))
+            cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (cells[1:] != cells[:-1])))
             yield table.slice(0, int(cuts[-1])), cuts
-            held = table.slice(int(cuts[-1])).combine_chunks().to_batches()  # the last bucket may go on
+            held = table.slice(int(cuts[-1])).combine_chunks().to_batches()  # the last cell may go on
         if held:
             table = pa.Table.from_batches(held)
             yield table, np.array([0, table.num_rows])
@@ -411,38 +426,68 @@ def _compared(members: DataFrame, sketches: DataFrame, cfg: NearDuplicates, quot
         for table, cuts in groups(batches):
             if not table.num_rows:
                 continue
-            ids, n, component = (table.column(c).to_numpy() for c in ("id", "n", "component"))
+            names = ("bucket", "cell", "id", "run", "crossed", "n", "component")
+            keys, cells, ids, runs, crossed, n, component = (table.column(c).to_numpy() for c in names)
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-            keys = table.column("bucket").to_numpy()
             out: list[tuple] = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 buckets = [set(x) for x in table.column("buckets").slice(a, b - a).to_pylist()]
-                pairs = _near(int(keys[a]), ids[a:b], buckets, n[a:b], component[a:b], sketch[a:b], cfg, quota)
-                out += [(int(keys[a]), *cell) for cell in _cells(pairs, ids[a:b], n[a:b])]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                own = (x[a:b] for x in (n, component, sketch))
+                pairs = _near(int(keys[a]), ids[a:b], buckets, runs[a:b], bool(crossed[a]), *own, cfg, quota)
+                out += [(int(keys[a]), int(cells[a]), *cell) for cell in _cells(pairs, ids[a:b], n[a:b])]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
             columns = zip(*out) if out else [()] * len(kinds)
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "part", "ids", "i", "j"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "cell", "part", "ids", "i", "j"])
 
-    # A member's buckets are at most its bands, or pairs of bands in finer buckets. Exploding
-    # them below the repartition matters: after a join on `bucket` Spark would drop the
-    # repartition and could then split a bucket as a skewed part of that join.
+    # A member's buckets are at most its bands. Exploding them below the repartition matters:
+    # after a join on `bucket` Spark would drop the repartition and could then split a cell as
+    # a skewed part of that join.
     by_id = members.groupBy("id").agg(
-        F.first("n").alias("n"), F.first("component").alias("component"), F.collect_set("bucket").alias("buckets")
+        F.first("n").alias("n"), F.first("component").alias("component"), F.collect_set("place").alias("places")
     )
-    placed = by_id.join(sketches, "id").withColumn("bucket", F.explode("buckets")).repartition("bucket")
-    ordered = placed.sortWithinPartitions("bucket", "id").select("bucket", "id", "n", "component", "sketch", "buckets")
-    return ordered.mapInArrow(run, CELLS)
+    one = by_id.join(sketches, "id").withColumn("buckets", F.col("places.bucket")).withColumn("place", F.explode("places"))
+    bucket, run_no, runs, skip, until = (F.col(f"place.{x}") for x in ("bucket", "run", "runs", "skip", "until"))
+    partner = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), runs - 1), lambda k: (k < skip) | (k >= until)))
+    met = one.withColumn("partner", partner).select(
+        bucket.alias("bucket"),
+        (F.least(run_no, "partner") * runs + F.greatest(run_no, "partner")).alias("cell"),
+        "id",
+        run_no.alias("run"),
+        (run_no != F.col("partner")).alias("crossed"),
+        "n",
+        "component",
+        "sketch",
+        "buckets",
+    )
+    return met.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "id").mapInArrow(run, CELLS)
 
 
 def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Members of the buckets in which components still meet, with `component` and the
-    bucket's size `left`."""
+    """Members of the buckets in which components still meet, with `component`."""
     labelled = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), (F.min("component") != F.max("component")).alias("mixed"))
+    sizes = labelled.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed"))
     return labelled.join(sizes.where("mixed").drop("mixed"), "bucket")
 
 
+def _placed(mixed: DataFrame) -> DataFrame:
+    """`mixed` with `place`: the bucket, the member's run in it, the number of `runs`, and the runs
+    from `skip` to `until` (exclusive), which hold its own component alone."""
+    sizes = mixed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    owned = sizes.withColumn("own", F.when(F.col("size") > BLOCK, F.col("component")))  # null: in runs with others
+    runs = owned.groupBy("bucket", "own").agg(F.ceil(F.sum("size") / BLOCK).alias("count"))
+    whole = W.partitionBy("bucket")
+    before = whole.orderBy(F.col("own").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumn("runs", F.sum("count").over(whole))
+    runs = runs.select(F.col("bucket").alias("in"), F.col("own").alias("of"), "count", "first", "runs")
+    cut = owned.join(runs, (F.col("bucket") == F.col("in")) & F.col("own").eqNullSafe(F.col("of")))
+    until = F.when(F.col("own").isNotNull(), F.col("first") + F.col("count")).otherwise(F.col("first"))
+    cut = cut.select("bucket", "component", "count", "first", "runs", until.alias("until"))
+    run = F.col("first") + F.pmod(F.xxhash64("id"), F.col("count"))
+    place = F.struct("bucket", run.alias("run"), "runs", F.col("first").alias("skip"), "until")
+    return mixed.join(cut, ["bucket", "component"]).withColumn("place", place)
+
+
 def _linked(components: DataFrame | None, found: DataFrame) -> DataFrame:
     """Components `(id, component)` with the links of `found(a, b)`."""
     if components is None:
@@ -464,24 +509,17 @@ def link(docs: DataFrame, cfg: NearDuplicates = NearDuplicates(), doc_id: str =
     classes = some.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.min_by(own, "id").alias("own"))
     reps = _store(classes.select("id", "size", "d1", "d2", F.col("own.n_shingles").alias("n"), "own.bands", "own.sketch"), "classes")
     members = reps.select("id", "n", F.explode("bands").alias("bucket")).distinct()
-    components: DataFrame | None = None
-    while True:
-        met = _store(_leaders(members), "buckets")
-        others = met.where(F.col("id") != F.col("head.id"))
-        pairs = others.where(_close(cfg)).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
-        components = _linked(components, _confirmed(pairs, source, cfg))
-        left = _store(_mixed(others.select("bucket", "id", "n"), components), "open")
-        small = left.where(F.col("left") <= BLOCK).select("bucket", "id", "n")
-        for quota in QUOTAS:
-            near = _store(_compared(_mixed(small, components), reps.select("id", "sketch"), cfg, quota), "cells")
-            if near.isEmpty():
-                break
-            components = _linked(components, _confirmed_cells(near, source, cfg))
-        large = left.where(F.col("left") > BLOCK)
-        if large.isEmpty():
+    met = _store(_leaders(members), "buckets")
+    others = met.where(F.col("id") != F.col("head.id"))
+    pairs = others.where(_close(cfg)).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
+    components = _linked(None, _confirmed(pairs, source, cfg))
+    left = others.select("bucket", "id", "n")
+    for quota in QUOTAS:
+        left = _store(_mixed(left.select("bucket", "id", "n"), components), "open")
+        near = _store(_compared(_placed(left), reps.select("id", "sketch"), cfg, quota), "cells")
+        if near.isEmpty():
             break
-        finer = large.select("bucket", "id", "n").join(reps.select("id", F.explode("bands").alias("band")), "id").where("band <> bucket")
-        members = finer.select("id", "n", F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")).alias("bucket")).distinct()
+        components = _linked(components, _confirmed_cells(near, source, cfg))
     named = reps.where("size > 1").select("d1", "d2", F.col("id").alias("rep"))
     joined = prints.drop("bands", "sketch").join(named, ["d1", "d2"], "left").withColumn(
         "rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "id")).otherwise(F.col("id"))

@@ -209,6 +209,34 @@ def test_cells_hold_every_pair_once_in_bounded_size(monkeypatch):
     assert sorted(seen) == sorted(zip(ids[pairs[0]].tolist(), ids[pairs[1]].tolist()))
 
 
+def test_links_do_not_depend_on_the_size_of_runs(spark, monkeypatch):
+    # Long bands: most similar pairs share one bucket only, which a finer bucket would lose.
+    cfg, rng = neardup.NearDuplicates(percent=80, miss=0.5), random.Random(11)
+    base, texts = prose(150, 300).split(), []
+    for i in range(60):
+        copy = list(base)
+        for k in rng.sample(range(150), rng.choice((1, 2, 2, 3, 3))):
+            copy[k] = f"edit{rng.random()}"
+        texts.append((i, " ".join(copy)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    whole = {r.doc_id: r.component_id for r in neardup.link(df, cfg).collect()}
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    assert {r.doc_id: r.component_id for r in neardup.link(df, cfg).collect()} == whole
+    assert 1 < len(set(whole.values())) < 60
+
+
+def test_runs_of_a_bucket_hold_every_pair_of_components_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    component = {i: i if i < 11 else 11 if i < 40 else 40 for i in range(60)}
+    mixed = spark.createDataFrame([(7, i, 100, c) for i, c in component.items()], "bucket bigint, id bigint, n bigint, component bigint")
+    sketches = spark.createDataFrame([(i, bytes(232) + bytes(rng % 256 for rng in range(i, i + 20))) for i in component], "id bigint, sketch binary")
+    # All estimates are uncertain, so every pair of two components is listed.
+    cells = neardup._compared(neardup._placed(mixed), sketches, neardup.NearDuplicates(percent=92), neardup.QUOTAS[-1]).collect()
+    seen = sorted((r.ids[x], r.ids[y]) for r in cells for x, y in zip(r.i, r.j))
+    assert seen == [(a, b) for a in component for b in component if a < b and component[a] != component[b]]
+    assert len({r.cell for r in cells}) > 20 and max(len(r.ids) for r in cells) <= 8 * 4
+
+
 def test_connected_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (200, 101), (None, 3)]
     got = {r.id: r.component for r in connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
