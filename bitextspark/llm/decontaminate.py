@@ -1,16 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. One pass over the corpus looks up every n-gram of words in the n-grams of the benchmark
    and cuts a window of words around the hits, so only passages that share an n-gram leave
    the scan.
-2. Document frequencies of the shared n-grams are counted over the whole corpus. An item's
-   seeds are its n-grams of a frequency up to `max_frequency`. A window is also paired
-   with an item of which it holds `min_shared` n-grams of any frequency (or all of a short
-   item), so items that very many documents copy are not lost.
-3. Seeds join windows to items, and each pair is aligned word by word. The score is the
-   best local alignment over the item's length: 1 for a verbatim copy; replaced, dropped
-   and inserted words cost a little each, so paraphrased or edited copies stay above
-   `min_score`.
+2. Windows of the same words are one from here on, so an item that very many documents copy
+   with their surroundings is aligned once.
+3. Every shared n-gram, common or not, pairs a window with the items that hold it, so what is
+   found in a document does not depend on other documents. Each pair is aligned word by
+   word. The score is the best local alignment over the item's length: 1 for a verbatim
+   copy; replaced, dropped and inserted words cost a little each, so paraphrased or edited
+   copies stay above `min_score`. A copy without any n-gram of its item is not found,
+   whatever its score would be.
 
 The benchmark is small by nature; `MAX_ITEM_BYTES` bounds what is sent to the tasks.
 """
@@ -38,8 +38,6 @@ class Decontamination:
     beyond the longest item on each side of a hit, for insertions."""
 
     n: int = 4
-    max_frequency: float = 0.01
-    min_shared: int = 3
     min_score: float = 0.4
     mismatch: float = 0.5
     gap: float = 0.5
@@ -139,6 +137,8 @@ def align(item: np.ndarray, passages: np.ndarray, cfg: Decontamination) -> tuple
 
 
 MATCHES = "doc_id bigint, item_id bigint, score double, start int, end int"
+#: `start` and `end` count from the window's first word.
+ALIGNED = "digest string, item_id bigint, score double, start int, end int"
 
 
 def _aligned(pairs: DataFrame, items: _Items, cfg: Decontamination) -> DataFrame:
@@ -146,9 +146,8 @@ def _aligned(pairs: DataFrame, items: _Items, cfg: Decontamination) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            item_ids = batch.column(2).to_numpy(zero_copy_only=False)
-            starts = batch.column(1).to_numpy(zero_copy_only=False)
-            sizes = np.array([len(v.as_buffer()) // 8 for v in batch.column(3)], dtype=np.int64)
+            item_ids = batch.column(1).to_numpy(zero_copy_only=False)
+            sizes = np.array([len(v.as_buffer()) // 8 for v in batch.column(2)], dtype=np.int64)
             keep: list[tuple[int, float, int, int]] = []
             order = np.lexsort((sizes, item_ids))
             cuts = np.flatnonzero(np.diff(item_ids[order], prepend=np.int64(-(1 << 62))))
@@ -163,26 +162,26 @@ def _aligned(pairs: DataFrame, items: _Items, cfg: Decontamination) -> DataFrame
                     rows = order[at:upto]
                     block = np.zeros((len(rows), int(sizes[rows].max())), dtype=np.uint64)
                     for k, r in enumerate(rows):
-                        block[k, : sizes[r]] = np.frombuffer(batch.column(3)[int(r)].as_buffer(), dtype=np.uint64)
+                        block[k, : sizes[r]] = np.frombuffer(batch.column(2)[int(r)].as_buffer(), dtype=np.uint64)
                     best, end = align(item, block, cfg)
                     for k, r in enumerate(rows):
                         score = float(best[k]) / len(item)
                         if score >= cfg.min_score:
-                            keep.append((int(r), round(score, 6), int(starts[r] + max(0, end[k] - len(item))), int(starts[r] + end[k])))
+                            keep.append((int(r), round(score, 6), max(0, int(end[k]) - len(item)), int(end[k])))
                     at = upto
             rows = pa.array([k[0] for k in keep], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(rows),
-                    batch.column(2).take(rows),
+                    batch.column(1).take(rows),
                     pa.array([k[1] for k in keep], pa.float64()),
                     pa.array([k[2] for k in keep], pa.int32()),
                     pa.array([k[3] for k in keep], pa.int32()),
                 ],
-                names=["doc_id", "item_id", "score", "start", "end"],
+                names=["digest", "item_id", "score", "start", "end"],
             )
 
-    return pairs.select("doc_id", "start", "item_id", "words").mapInArrow(run, MATCHES)
+    return pairs.select("digest", "item_id", "words").mapInArrow(run, ALIGNED)
 
 
 def matches(
@@ -205,27 +204,20 @@ def matches(
     items = _Items(_item_rows(benchmark, item_id, item_text), cfg.n)
     if not items.grams:
         return spark.createDataFrame([], MATCHES)
-    found = _store(windows(docs, items, cfg, doc_id, text).withColumn("key", F.xxhash64("doc_id", "start", "words")), "windows")
-    total = max(1, docs.count())
+    found = _store(windows(docs, items, cfg, doc_id, text).withColumn("digest", F.sha2("words", 256)), "windows")
+    # A window's n-grams follow from its words.
+    distinct = found.groupBy("digest").agg(F.first("words").alias("words"), F.first("grams").alias("grams"))
+    distinct = _store(distinct, "distinct")
     postings = spark.createDataFrame(
         pa.table({"gram": pa.array([g for g, _ in items.grams], pa.int64()), "item_id": pa.array([i for _, i in items.grams], pa.int64())})
     )
-    shared = found.select("doc_id", "key", F.explode("grams").alias("gram"))
-    frequency = shared.select("doc_id", "gram").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rare = F.col("df") <= F.greatest(F.lit(1.0), F.lit(cfg.max_frequency * total))
-    graded = postings.join(frequency, "gram").withColumn("rare", rare)
-    enough = postings.groupBy("item_id").agg(F.least(F.lit(cfg.min_shared), F.count(F.lit(1))).alias("enough"))
     # At most the benchmark's n-grams, whose texts were checked above.
-    seeds = F.broadcast(graded.join(enough, "item_id").select("gram", "item_id", "rare", "enough"))
-    pairs = (
-        shared.select("key", "gram")
-        .join(seeds, "gram")
-        .groupBy("key", "item_id")
-        .agg(F.max("rare").alias("rare"), F.count_distinct("gram").alias("n"), F.max("enough").alias("enough"))
-        .where("rare OR n >= enough")
-        .select("key", "item_id")
+    shared = distinct.select("digest", F.explode("grams").alias("gram")).join(F.broadcast(postings), "gram")
+    pairs = shared.select("digest", "item_id").distinct()
+    scored = _aligned(distinct.drop("grams").join(pairs, "digest"), items, cfg)
+    aligned = found.select("doc_id", F.col("start").alias("at"), "digest").join(scored, "digest").select(
+        "doc_id", "item_id", "score", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end")
     )
-    aligned = _aligned(found.drop("grams").join(pairs, "key"), items, cfg)
     best = aligned.groupBy("doc_id", "item_id").agg(
         F.max(F.struct("score", (-F.col("start")).alias("before"), (-F.col("end")).alias("until"))).alias("m")
     )

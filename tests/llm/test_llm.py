@@ -259,6 +259,22 @@ def test_decontamination_finds_copies_and_edits(spark, odd, nothing):
     assert decontaminate.matches(odd, items).count() == 0
 
 
+def test_decontamination_does_not_depend_on_other_documents(spark):
+    item = prose(14, 78)
+    edited = item.split()
+    edited[3], edited[8], edited[12] = "x1", "x2", "x3"  # one n-gram of four words is left
+    rows = [(1, prose(30, 1) + " " + " ".join(edited) + " " + prose(30, 2))]
+    rows += [(i, prose(20, i) + " " + item) for i in range(2, 8)]
+    items = spark.createDataFrame([(9, item)], "item_id bigint, text string")
+    every, one = (
+        {(r.doc_id, r.item_id): r for r in decontaminate.matches(spark.createDataFrame(part, "doc_id bigint, text string"), items).collect()}
+        for part in (rows, rows[:1])
+    )
+    assert set(every) == {(i, 9) for i in range(1, 8)} and every[1, 9] == one[1, 9]
+    assert (every[1, 9].score, every[1, 9].start, every[1, 9].end) == (round(9.5 / 14, 6), 30, 44)
+    assert (every[2, 9].start, every[2, 9].end) == (20, 34)
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng, cfg = np.random.default_rng(4), decontaminate.Decontamination()
     for _ in range(30):
