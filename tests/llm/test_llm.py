@@ -144,6 +144,15 @@ def test_quality_counts(spark, odd, nothing):
     assert quality.judge(nothing, PIECES, quality.QualityRules()).count() == 0
 
 
+def test_bands_leave_room_for_short_texts_with_long_tokens(spark):
+    # Characters per token of doc_id 830 and 4725 of sf0.1 (quality 1), and of a text far below its language.
+    rows = [(1, "en", 2.204), (2, "en", 2.188), (3, "de", 2.2), (4, "es", 1.9), (5, "fr", 1.9), (6, "en", 1.3), (7, "fr", 1.3)]
+    measures = "100L AS n_tokens, 0.01D AS byte_share, 0.8D AS token_entropy, 1D AS latin_share"
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, chars_per_token double").selectExpr("*", *measures.split(", "))
+    kept = df.where(quality.fertile(quality.QualityRules())).collect()
+    assert {r.doc_id for r in kept} == {1, 2, 3, 4, 5}
+
+
 def _components(texts, percent):
     sets = {}
     for i, t in texts.items():
