@@ -116,7 +116,8 @@ class Index:
 
 
 def build_index(frequencies: dict[str, int], documents: int, templates: tuple[Template, ...], seeds: int = 1) -> Index:
-    """Index every key phrase's `seeds` rarest words, so each place of a template is found.
+    """Index the `seeds` rarest words of each template's rarest key phrase. A place of a template
+    holds all its key phrases, so one word finds each place.
 
     Ties are broken by the word, so the index is the same on every run."""
     idf = {
