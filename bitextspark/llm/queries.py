@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitextspark.llm import chat, decontaminate, licences, neardup, pieces, pii, quality, substrings, tokenfile, urls
+from bitextspark.llm import (
+    chat,
+    decontaminate,
+    licences,
+    neardup,
+    pieces,
+    pii,
+    quality,
+    simhash,
+    spelling,
+    substrings,
+    tokenfile,
+    urls,
+)
 from bitextspark.scale import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +226,13 @@ def op5_personal_data(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(_joined_spans("base_spans"), 256).alias("base_sha256"),
         _joined_spans("all_spans").alias("spans"),
     )
+
+
+@register
+def op12_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.link(table(spark, sf, "documents", "doc_id", "text"))
+
+
+@register
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents", "doc_id", "text"))
