@@ -159,7 +159,7 @@ def test_variants_equal_brute_force(spark, monkeypatch):
         return w
 
     docs = [(i % 90 if i % 10 else None, ", ".join(edited(rng.choice(stems)) for _ in range(60)) or None) for i in range(120)]
-    docs += [(1000, None), (1001, ""), (1002, " 12 -- "), (1003, "y" * 5000 + " z " + " ".join(["q" * 7000] * 5 + ["q" * 7001] * 25)), (5, docs[5][1])]
+    docs += [(1000, None), (1001, ""), (1002, " 12 -- "), (1003, "y" * 5000 + " z " + " ".join(["q" * 7000] * 5 + ["q" * 7001] * 25 + ["w" * 70] * 5 + ["w" * 71] * 25 + ["w" * 72] * 125)), (5, docs[5][1])]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("word", F.lit(1)).withColumn("block", F.lit(2))
     want = brute_variants(docs)
     assert sum(v[0] is not None for v in want.values()) > 20 and any(v[1] not in (w, v[0]) for w, v in want.items())
