@@ -20,6 +20,7 @@ from bitextspark.llm import (
     spelling,
     substrings,
     tokenfile,
+    treap,
     urls,
 )
 from bitextspark.scale import scratch_path
@@ -236,3 +237,24 @@ def op12_simhash(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.variants(table(spark, sf, "documents", "doc_id", "text"))
+
+
+@register
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    return treap.rank(docs, table(spark, sf, "benchmark", "item_id", "text"))
+
+
+ORACLES["op11_ranked_search"] = """
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+size AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM len),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, size GROUP BY term, docs),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN len USING (doc_id), size GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
