@@ -47,6 +47,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back: lineage ends there, the rows are
+    computed once, and later reads prune columns and push filters down."""
+    location = scratch_path(df.sparkSession, name)
+    df.write.parquet(location)
+    return df.sparkSession.read.parquet(location)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by `keys` only when the scan has fewer splits than cores.
 
