@@ -162,24 +162,31 @@ def lookup_tokens(
     `keys` identify a row (the first one places it). `arrays` maps output name ->
     input array column; `carry` columns pass through. With `small` (a table measured
     by `small_enough`) rows are placed once, tokens are looked up map-side and
-    regrouped in place, so only rows are shuffled. Otherwise the tokens go through a
-    shuffle join, whose hot keys AQE splits, and the carried columns are joined back.
-    `default=None` keeps the element itself.
+    regrouped in place, so only rows are shuffled; the carried columns ride on one head cell of
+    the row, not on its tokens. Otherwise the tokens go through a shuffle join, whose hot
+    keys AQE splits, and the carried columns are joined back. `default=None` keeps the element
+    itself.
     """
     names = list(arrays)
+    source = place(df, keys[0]) if small else df
+    carried = df.select(F.struct(*(carry or [F.lit(1).alias("__none")])).alias("c")).schema["c"].dataType
+    element = df.select(arrays[names[0]]).schema[0].dataType.elementType
 
     def cells(s: int, name: str) -> Column:
-        return F.transform(
-            F.col(arrays[name]), lambda x, i: F.struct(F.lit(s).alias("s"), i.alias("i"), x.alias("x"))
-        )
+        def cell(x: Column, i: Column) -> Column:
+            parts = [F.lit(s).alias("s"), i.alias("i"), x.alias("x")]
+            return F.struct(*parts, F.lit(None).cast(carried).alias("c")) if small else F.struct(*parts)
+
+        return F.transform(F.col(arrays[name]), cell)
 
     def found_values(s: int) -> Column:
         return F.transform(F.filter("__cells", lambda c: c["s"] == s), lambda c: c["v"])
 
-    parts = [cells(s, n) for s, n in enumerate(names)]
-    kept = list(carry) if small else []
-    source = place(df, keys[0]) if small else df
-    exploded = source.select(*keys, *kept, F.explode_outer(F.concat(*parts)).alias("__e"))
+    parts = [F.coalesce(cells(s, n), F.array()) if small else cells(s, n) for s, n in enumerate(names)]
+    if small:  # every row has a head, so an empty one is not lost
+        columns = F.struct(*carry) if carry else F.lit(None).cast(carried)
+        parts.insert(0, F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).alias("i"), F.lit(None).cast(element).alias("x"), columns.alias("c"))))
+    exploded = source.select(*keys, F.explode_outer(F.concat(*parts)).alias("__e"))
     entries = table.select(F.col(on).alias("__on"), F.col(value).alias("__value"))
     found = exploded.join(
         F.broadcast(entries) if small else entries, F.col("__e.x") == F.col("__on"), "left"
@@ -188,13 +195,14 @@ def lookup_tokens(
     cell = F.struct(
         F.col("__e.s").alias("s"), F.col("__e.i").alias("i"), F.coalesce("__value", fallback).alias("v")
     )
+    wanted = F.col("__e.s") >= 0 if small else F.col("__e").isNotNull()
     grouped = found.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(F.col("__e").isNotNull(), cell))).alias("__cells"),
-        *[F.any_value(c).alias(c) for c in kept],
+        F.sort_array(F.collect_list(F.when(wanted, cell))).alias("__cells"),
+        *([F.any_value("__e.c", True).alias("__carried")] if small and carry else []),
     )
     out = grouped.select(
         *keys,
-        *kept,
+        *([F.col(f"__carried.{c}").alias(c) for c in carry] if small else []),
         *[found_values(s).alias(n) for s, n in enumerate(names)],
     )
     return out if small or not carry else out.join(df.select(*keys, *carry), list(keys))
