@@ -13,26 +13,27 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 _SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 SECTIONS = (
-    "rows", "tasks", "bilingual", "vocabulary", "batches", "sources", "evaluation", "text", "iterative", "stateful",
+    "rows", "tasks", "bilingual", "vocabulary", "batches", "sources", "evaluation", "text", "iterative", "stateful", "build",
 )
 
 
 def view(name: str, sql: str, *needs: str) -> None:
+    if name in VIEWS:
+        raise ValueError(f"view {name} is defined twice")
     VIEWS[name] = (needs, sql)
 
 
 def compose(sql: str, needs: tuple[str, ...]) -> str:
     """Prefix `sql` with the WITH list of the views it needs, dependencies first."""
-    order: list[str] = []
-
-    def visit(name: str) -> None:
-        if name not in order:
-            for dep in VIEWS[name][0]:
-                visit(dep)
-            order.append(name)
-
-    for n in needs:
-        visit(n)
+    order: dict[str, None] = {}
+    open_views = list(reversed(needs))
+    while open_views:
+        name = open_views[-1]
+        missing = [n for n in VIEWS[name][0] if n not in order]
+        if name in order or not missing:
+            order[open_views.pop()] = None
+        else:
+            open_views += reversed(missing)
     if not order:
         return sql
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in order) + "\n" + sql

@@ -227,7 +227,7 @@ def _(spark, sf):
     return mx.loss_per_size(losses(spark, sf), ["task"])
 
 
-@query("corpus_build")
+@query("corpus_build_bilingual")
 def _(spark, sf):
     """Every stage from raw pairs to encoded versions; counts per task and epoch."""
     specs = (TaskSpec("rev"), TaskSpec("wrdp", 0.3), TaskSpec("replace", 0.3), TaskSpec("mono"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,33 @@ def extract_hypotheses(log: DataFrame, col: str = "value") -> DataFrame:
     )
 
 
+#: Leaves of a plan whose rows are in no file.
+_IN_MEMORY = re.compile(r"\b(LocalRelation|LogicalRDD|ExternalRDD)\b")
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A digest of what `df` reads and how.
+
+    Files count by path, size and modification time (one listing per folder, no row is read), the
+    plan by its text without generated ids. Rows that are in no file count by content, in one
+    pass.
+    """
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().analyzed().toString()
+    parts = [re.sub(r"#[0-9]+L?|_[0-9]+\b", "", plan)]
+    files = set(df.inputFiles())
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        found = [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in path.getFileSystem(conf).listStatus(path)]
+        parts += sorted(f"{p.rsplit('/', 1)[1]} {size} {when}" for p, size, when in found if not p.rsplit("/", 1)[1].startswith(("_", ".")))
+        parts.append(folder)
+    if _IN_MEMORY.search(plan):
+        rows = df.select(F.xxhash64(*df.columns).alias("h"))
+        parts.append(str(rows.agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()))
+    return hashlib.md5("\n".join(parts).encode()).hexdigest()
+
+
 def stage_path(root: str, stage: str, config: dict) -> str:
     """Output path of a stage: its name and a hash of its configuration."""
     digest = hashlib.md5(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:12]
@@ -65,13 +93,16 @@ def stage_path(root: str, stage: str, config: dict) -> str:
 
 def run_stage(
     spark: SparkSession, root: str, stage: str, config: dict, build: Callable[[], DataFrame],
-    partition: tuple[str, ...] = (),
+    partition: tuple[str, ...] = (), inputs: tuple[DataFrame, ...] = (),
 ) -> DataFrame:
     """Build a stage unless its finished output exists, then read it back.
 
     A stage counts as finished when its `_SUCCESS` file exists, so the remains of an
-    interrupted write are replaced.
+    interrupted write are replaced. Its path depends on the configuration and on the
+    `fingerprint` of each of `inputs`, so a changed input is a new stage.
     """
+    if inputs:
+        config = {**config, "__inputs": [fingerprint(df) for df in inputs]}
     path = stage_path(root, stage, config)
     if not path_exists(spark, f"{path}/_SUCCESS"):
         rows = build()

@@ -148,6 +148,73 @@ def test_merges_equal_one_at_a_time_learning(spark, seed):
         assert units[w] == "@@ ".join(syms)[:-4]
 
 
+def indexed_bpe(words, n):
+    """One merge at a time with pair counts kept up to date, for larger tables."""
+    state = [([*w[:-1], w[-1] + "</w>"], c) for w, c in words]
+    pairs, where = Counter(), {}
+    for k, (syms, c) in enumerate(state):
+        for p in zip(syms, syms[1:]):
+            pairs[p] += c
+            where.setdefault(p, set()).add(k)
+    out = []
+    while len(out) < n:
+        best, count = max(pairs.items(), key=lambda x: (x[1], x[0]))
+        out.append((*best, count))
+        for k in where.pop(best):
+            syms, c = state[k]
+            for p in zip(syms, syms[1:]):
+                pairs[p] -= c
+            new, i = [], 0
+            while i < len(syms):
+                step = 2 if tuple(syms[i : i + 2]) == best else 1
+                new.append("".join(syms[i : i + step]))
+                i += step
+            state[k] = (new, c)
+            for p in zip(new, new[1:]):
+                pairs[p] += c
+                where.setdefault(p, set()).add(k)
+    return out
+
+
+def test_a_thousand_merges_of_a_table(spark):
+    from bitextspark.operators import vocab as vo
+    from bitextspark.registry import inputs as inp
+    from bitextspark.scale import stored
+
+    counts = stored(vo.token_counts(inp.clean(spark, "/root/testdata/sf0.01"), "src_tok", "tgt_tok"), "counts")
+    rounds = []
+    got = sw.learn_merges(counts, 1000, rounds=rounds)
+    assert got == indexed_bpe([(r.symbol, r["count"]) for r in counts.collect()], 1000)
+    assert len(rounds) < 20 and sum(rounds) == 1000
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_small_windows_and_few_fragments_change_nothing(spark, seed):
+    """Ties everywhere, symbols made in two ways, runs of one symbol."""
+    rng = random.Random(100 + seed)
+    words = {"".join(rng.choices("aab" if seed % 2 else "abcde", k=rng.randint(1, 9))): rng.choice([1, 1, 2, 3]) for _ in range(40)}
+    counts = spark.createDataFrame(list(words.items()), "symbol string, count long").coalesce(1)
+    want, _ = brute_bpe(words, 12)
+    assert sw.learn_merges(counts, 12, window=rng.choice([1, 3, 7]), max_fragments=rng.choice([2, 10, 100])) == want
+
+
+def test_dictionary_segments_like_the_text(spark):
+    rng = random.Random(3)
+    words = {"".join(rng.choices("abcd", k=rng.randint(1, 8))): rng.randint(1, 9) for _ in range(50)}
+    merges = sw.learn_merges(spark.createDataFrame(list(words.items()), "symbol string, count long"), 20)
+    rows = [(i, " ".join(rng.choices(sorted(words), k=6)), " ".join(rng.choices([*sorted(words), "new", "★"], k=3))) for i in range(30)]
+    rows += [(100, "", "abcd"), (101, None, "")]
+    df = spark.createDataFrame(rows, "pair_id long, src string, tgt string")
+    types = spark.createDataFrame([("en", w, c) for w, c in words.items()], "lang string, symbol string, count long")
+    known = sw.vocabulary_sets(sw.unit_counts(types, merges), ("en", "fr"), threshold=30)
+    assert known["en"] and not known["fr"]
+    got = {r.pair_id: r for r in sw.segment_by_dictionary(df, merges, {"src": "en", "tgt": "fr"}, known).collect()}
+    want = df.select("pair_id", sw.segment_text(F.col("src"), merges, known["en"]).alias("src"), sw.segment_text(F.col("tgt"), merges, known["fr"]).alias("tgt"))
+    for r in want.collect():
+        assert (got[r.pair_id].src, got[r.pair_id].tgt) == (r.src or "", r.tgt)
+    assert all(u.endswith("@@") or len(u) <= 1 for u in got[100].tgt.split())  # nothing known: single letters
+
+
 def test_segmentation_respects_the_vocabulary(spark):
     merges = [("a", "b", 9), ("ab", "c</w>", 5)]
     df = spark.createDataFrame([("abc ab",)], "t string")
@@ -341,6 +408,50 @@ def test_corpus_build_stages(spark, tmp_path):
     assert encoded.where("array_contains(src_ids, 3) or array_contains(tgt_ids, 3)").where("epoch = 1").count() == 0
 
 
+def test_dev_and_test_pass_through_the_models_of_train(spark, tmp_path):
+    from bitextspark.plans.corpus import CorpusBuild, CorpusConfig
+
+    rng = random.Random(4)
+    words = ["house", "tree", "river", "stone", "cloud", "light"]
+    train = [(i, " ".join(s := rng.choices(words, k=6)), " ".join(w[::-1] for w in s)) for i in range(30)]
+    dev = [(1, "house unseen", "esuoh http: x"), (2, "", "eert"), (3, "same same", "same same")]
+    make = lambda rows: spark.createDataFrame(rows, "pair_id long, src string, tgt string")
+    cfg = CorpusConfig("en", "fr", (TaskSpec("rev"),), n_merges=30, em_rounds=1)
+    build = CorpusBuild(spark, make(train), cfg, str(tmp_path), dev=make(dev))
+    rows = {r.pair_id: r for r in build.tagged("dev").collect()}
+    assert set(rows) == {1, 2, 3} and all(r.src.startswith("TO_fr") for r in rows.values())
+    assert rows[1].src.startswith("TO_fr house u@@")
+    ids = {r.pair_id: r for r in build.encoded("dev").collect()}
+    unknown = 3
+    assert unknown in ids[1].src_ids and unknown not in ids[1].src_ids[:2] and len(ids[2].src_ids) == 2 and ids[2].tgt_ids[-1] == 2
+    for given in ("src", "tgt"):
+        sums = build.lexicon(given).groupBy(given).agg(F.sum("prob").alias("p")).collect()
+        assert sums and all(abs(r.p - 1) < 1e-9 for r in sums)
+    # The same input finds every stage again, another one does not.
+    files = lambda: sorted(p.name for p in tmp_path.iterdir())
+    before = files()
+    CorpusBuild(spark, make(train), cfg, str(tmp_path), dev=make(dev)).encoded("dev")
+    assert files() == before
+    CorpusBuild(spark, make(train), cfg, str(tmp_path), dev=make(dev[:2])).encoded("dev")
+    added = set(files()) - set(before)
+    assert added and all("-dev-" in name for name in added)
+    CorpusBuild(spark, make(train[1:]), cfg, str(tmp_path)).cleaned()
+    assert any("clean-train" in name for name in set(files()) - set(before) - added)
+
+
+def test_a_changed_file_is_a_new_stage(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.range(5).write.parquet(path)
+    build = lambda: spark.read.parquet(path).selectExpr("id + 1 AS id")
+    run = lambda: tb.run_stage(spark, str(tmp_path / "out"), "s", {}, build, inputs=(build(),)).count()
+    first = tb.fingerprint(build())
+    assert run() == 5 and tb.fingerprint(build()) == first
+    spark.range(7).write.mode("append").parquet(path)
+    spark.catalog.refreshByPath(path)
+    assert tb.fingerprint(build()) != first and run() == 12
+    assert tb.fingerprint(build().where("id > 3")) != tb.fingerprint(build())
+
+
 def test_numbered_lines_survive_other_splits(spark, tmp_path):
     """Lines keep their numbers when the scan is cut differently between build and action."""
     for name in ("b", "a"):
