@@ -102,18 +102,20 @@ def collate(
     by: tuple[str, ...] = (),
     order: str | None = None,
     links: str | None = None,
+    fed: str | None = None,
 ) -> DataFrame:
     """One row per batch: ids, left-padded sources, right-padded targets, decoder
     inputs, lengths and totals; rows in order of falling source length.
 
     Auxiliary versions join the batches of their base rows: pass `by=("task",)` and an
     `order` column with the base source length, so that all tasks keep one row order.
+    The decoder's input is the target moved by one, or the column `fed`. Totals leave padding out.
     With `links`, link positions are moved along: sources by the left padding, targets
     by the padded rows before them. A group is one batch, whose size the budget bounds.
     """
     cell = F.struct(
         (-(F.col(order) if order else F.size(src))).alias("k"), F.col(key).alias("id"), F.col(src).alias("s"),
-        F.col(tgt).alias("t"), fi.decoder_input(F.col(tgt), eos).alias("p"),
+        F.col(tgt).alias("t"), (F.col(fed) if fed else fi.decoder_input(F.col(tgt), eos)).alias("p"),
         *([F.col(links).alias("l")] if links else []),
     )
     grouped = df.groupBy("batch_id", *by).agg(
@@ -121,7 +123,7 @@ def collate(
         fi.round_up(F.max(F.size(src)), multiple).alias("ls"),
         fi.round_up(F.max(F.size(tgt)), multiple).alias("lt"),
         F.count(F.lit(1)).alias("nsentences"),
-        F.sum(F.size(tgt).cast("bigint")).alias("ntokens"),
+        F.sum(fi.count_non_pad(F.col(tgt), pad).cast("bigint")).alias("ntokens"),
     )
     moved = F.flatten(
         F.transform(

@@ -13,7 +13,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 _SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 SECTIONS = (
-    "rows", "tasks", "bilingual", "vocabulary", "batches", "sources", "evaluation", "text", "iterative", "stateful", "build",
+    "rows", "tasks", "bilingual", "vocabulary", "batches", "sources", "evaluation", "text", "iterative", "stateful", "build", "examples",
 )
 
 

@@ -10,28 +10,46 @@ from bitextspark.functions import text as tx
 from bitextspark.operators import clean as cl
 from bitextspark.operators import examples as ex
 from bitextspark.operators import tasks as tk
+from bitextspark.operators import vocab as vo
 from bitextspark.registry import inputs as inp
 from bitextspark.registry.base import query, view
-from bitextspark.scale import global_rank
+from bitextspark.scale import checkpoint_dir, global_rank
+from bitextspark.sources.tables import run_stage
 
 
 def ids_text(c):
     return F.array_join(c.cast("array<string>"), " ")
 
 
+def _stage(spark, sf, name, build):
+    """A table that several queries read, built once for each state of the documents."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/bitextspark/stages"
+    return run_stage(spark, root, name, {}, build, inputs=(inp.table(spark, sf, "documents"),))
+
+
+def vocabulary(spark, sf):
+    """Joint vocabulary of the clean pairs; words that occur once are unknown."""
+    counts = lambda: vo.token_counts(inp.clean(spark, sf), "src_tok", "tgt_tok")
+    return _stage(spark, sf, "pair-vocabulary", lambda: vo.build_vocabulary(counts(), threshold=2, padding_factor=0))
+
+
 def encoded(spark, sf):
-    """Id arrays closed by eos; an id is 4 + the length of its token."""
-    length_ids = lambda c: fi.append_eos(F.transform(c, lambda x: F.length(x) + 4))
-    return inp.clean(spark, sf).select(
-        "pair_id", length_ids(F.col("src_tok")).alias("src_ids"), length_ids(F.col("tgt_tok")).alias("tgt_ids")
+    """Vocabulary ids of the clean pairs, closed by eos."""
+    arrays = {"src_ids": "src_tok", "tgt_ids": "tgt_tok"}
+    return _stage(
+        spark, sf, "encoded-pairs", lambda: vo.encode(inp.clean(spark, sf), vocabulary(spark, sf), ("pair_id",), arrays)
     )
 
 
 view(
     "enc",
-    """SELECT pair_id, list_append(list_transform(st, lambda x: len(x)+4), 2) AS s,
-              list_append(list_transform(tt, lambda x: len(x)+4), 2) AS t FROM cp""",
+    """SELECT pair_id, list_append(list(id ORDER BY i) FILTER (side = 's'), 2) AS s, list_append(list(id ORDER BY i) FILTER (side = 't'), 2) AS t
+       FROM (SELECT pair_id, side, i, coalesce(v.id, 3) AS id FROM (
+               SELECT pair_id, 's' AS side, i, st[i] AS w FROM cp, unnest(range(1, len(st)+1)) u(i)
+               UNION ALL SELECT pair_id, 't', i, tt[i] FROM cp, unnest(range(1, len(tt)+1)) u(i)) c LEFT JOIN vocab v ON v.symbol = c.w)
+       GROUP BY pair_id""",
     "cp",
+    "vocab",
 )
 
 # --- projections ----------------------------------------------------------
@@ -101,22 +119,9 @@ def _(spark, sf):
     return lines.select("pair_id", *[tx.tab_field(F.col("line"), i).alias(f"f{i + 1}") for i in (0, 1)])
 
 
-@query(
-    "prj8_drop_mark_column",
-    "SELECT pair_id, array_to_string(s[1:1] || s[3:], ' ') AS ids, len(s) - 1 AS n FROM enc",
-    "enc",
-)
-def _(spark, sf):
-    cut = encoded(spark, sf).withColumn("cut", fi.drop_second(F.col("src_ids")))
-    return cut.select("pair_id", ids_text(F.col("cut")).alias("ids"), F.size("cut").cast("bigint").alias("n"))
-
-
 def _versions_as_ids(spark, sf, specs):
     versions = tk.add_tasks(inp.clean(spark, sf), specs)
-    length_ids = lambda c: fi.append_eos(F.transform(c, lambda x: F.length(x) + 4))
-    return versions.select(
-        "pair_id", "task", length_ids(F.col("src_tok")).alias("src_ids"), length_ids(F.col("tgt_tok")).alias("tgt_ids")
-    )
+    return vo.encode(versions, vocabulary(spark, sf), ("pair_id", "task"), {"src_ids": "src_tok", "tgt_ids": "tgt_tok"})
 
 
 MASKED = """(SELECT pair_id, list_transform(tt, lambda x, i: CASE WHEN md5(concat_ws('|','17','{task}',{epoch},pair_id,i-1)) <=
@@ -130,7 +135,7 @@ MASKED = """(SELECT pair_id, list_transform(tt, lambda x, i: CASE WHEN md5(conca
          array_to_string([2] || fed[1:len(fed)-1],' ') AS prev_ids, len(label) AS ntokens FROM (
        SELECT pair_id, 'base' AS task, s AS src_ids, t AS label, t AS fed FROM enc
        UNION ALL SELECT pair_id, 'rev', s, list_append(list_reverse(t[1:len(t)-1]),2), list_append(list_reverse(t[1:len(t)-1]),2) FROM enc
-       UNION ALL SELECT e.pair_id, 'wrdp2', s, t, list_append(list_transform(m, lambda x: len(x)+4),2)
+       UNION ALL SELECT e.pair_id, 'wrdp2', s, t, list_append(list_transform(m, lambda x, i: CASE WHEN x = '★' THEN 3 ELSE t[i] END),2)
          FROM enc e JOIN {MASKED.format(task='wrdp2', epoch=1, alpha=0.3)} w ON e.pair_id = w.pair_id)""",
     "cp",
     "enc",
@@ -193,15 +198,18 @@ def _(spark, sf):
 
 @query(
     "prj12_language_tokens",
-    """SELECT pair_id, array_to_string([0] || list_append(s, 9001),' ') AS src_ids,
-              array_to_string(list_append(t, 9002),' ') AS tgt_ids FROM enc""",
+    """SELECT pair_id, array_to_string([0] || list_append(s, top + 1),' ') AS src_ids,
+              array_to_string(list_append(t, top + 2),' ') AS tgt_ids FROM enc, (SELECT max(id) AS top FROM vocab)""",
     "enc",
+    "vocab",
 )
 def _(spark, sf):
+    # The language tokens follow the last symbol of the vocabulary.
+    top = vocabulary(spark, sf).agg(F.max("id")).first()[0]
     return encoded(spark, sf).select(
         "pair_id",
-        ids_text(fi.prepend_bos(fi.append(F.col("src_ids"), 9001))).alias("src_ids"),
-        ids_text(fi.append(F.col("tgt_ids"), 9002)).alias("tgt_ids"),
+        ids_text(fi.prepend_bos(fi.append(F.col("src_ids"), top + 1))).alias("src_ids"),
+        ids_text(fi.append(F.col("tgt_ids"), top + 2)).alias("tgt_ids"),
     )
 
 
@@ -287,27 +295,10 @@ def _(spark, sf):
     )
 
 
-@query(
-    "flt10_synthetic_row_mask",
-    """SELECT pair_id, task, array_to_string(CASE WHEN task <> 'base' AND s[2] = 6 THEN list_transform(t, lambda x: 1) ELSE t END, ' ') AS tgt_ids,
-              CASE WHEN task <> 'base' AND s[2] = 6 THEN 0 ELSE len(t) END AS ntokens
-       FROM (SELECT pair_id, 'base' AS task, s, t FROM enc
-             UNION ALL SELECT pair_id, 'rev', s, list_append(list_reverse(t[1:len(t)-1]),2) FROM enc)""",
-    "enc",
-)
-def _(spark, sf):
-    versions = _versions_as_ids(spark, sf, [TaskSpec("rev")])
-    masked = versions.withColumn(
-        "tgt_ids", fi.mask_synthetic(F.col("src_ids"), F.col("tgt_ids"), F.col("task"), 6)
-    )
-    return masked.select(
-        "pair_id", "task", ids_text(F.col("tgt_ids")).alias("tgt_ids"), fi.count_non_pad(F.col("tgt_ids")).cast("bigint").alias("ntokens")
-    )
-
-
-@query("flt11_non_pad_count", "SELECT pair_id, len(list_filter(s, lambda x: x <> 6)) AS n FROM enc", "enc")
+@query("flt11_non_pad_count", "SELECT pair_id, len(s) AS n FROM enc", "enc")
 def _(spark, sf):
-    return encoded(spark, sf).select("pair_id", fi.count_non_pad(F.col("src_ids"), 6).cast("bigint").alias("n"))
+    padded = fi.pad_left(F.col("src_ids"), fi.round_up(F.size("src_ids") + 3, 8))
+    return encoded(spark, sf).select("pair_id", fi.count_non_pad(padded).cast("bigint").alias("n"))
 
 
 # --- set operations -------------------------------------------------------

@@ -9,10 +9,11 @@ from bitextspark.config import TaskSpec
 from bitextspark.functions import text as tx
 from bitextspark.operators import bilingual as bl
 from bitextspark.operators import tasks as tk
+from bitextspark.operators import vocab as vo
 from bitextspark.registry import inputs as inp
 from bitextspark.registry.base import query
 from bitextspark.registry.bilingual import linked
-from bitextspark.registry.rows import encoded, ids_text
+from bitextspark.registry.rows import encoded, ids_text, vocabulary
 from bitextspark.scale import global_rank, scratch_path
 from bitextspark.sources import bitext as bt
 from bitextspark.sources import tables as tb
@@ -54,26 +55,31 @@ def _(spark, sf):
 
 @query(
     "src6_sharded_splits",
-    """SELECT pair_id, 0::BIGINT AS shard, c::BIGINT AS copy FROM pairs, range(1,4) r(c) WHERE lang = 'en'
-       UNION ALL SELECT pair_id, 1, 1 FROM pairs WHERE lang = 'fr'
-       UNION ALL SELECT pair_id, 2, 1 FROM pairs WHERE lang NOT IN ('en','fr')""",
+    """SELECT pair_id, 0::BIGINT AS shard, c::BIGINT AS copy, src, tgt FROM pairs, range(1,4) r(c) WHERE lang = 'en'
+       UNION ALL SELECT pair_id, 1, 1, src, tgt FROM pairs WHERE lang = 'fr'
+       UNION ALL SELECT pair_id, 2, 1, src, tgt FROM pairs WHERE lang NOT IN ('en','fr')""",
     "pairs",
 )
 def _(spark, sf):
+    # The second shard is stored the other way round; a shard after the first gap is not read.
+    root = scratch_path(spark, "shards")
     pairs = inp.pairs(spark, sf)
-    shards = [pairs.where("lang = 'en'"), pairs.where("lang = 'fr'"), pairs.where("lang not in ('en', 'fr')")]
-    return bt.read_shards(spark, shards, upsample_primary=3).select(
-        "pair_id", F.col("shard").cast("bigint").alias("shard"), F.col("copy").cast("bigint").alias("copy")
+    for name, part in (
+        ("train.en-fr", "lang = 'en'"), ("train1.fr-en", "lang = 'fr'"), ("train2.en-fr", "lang not in ('en', 'fr')"), ("train4.en-fr", "true"),
+    ):
+        sides = ("src", "tgt") if name.endswith("en-fr") else ("tgt", "src")
+        rows = pairs.where(part).select("pair_id", *[F.col(s).alias(code) for s, code in zip(sides, name.split(".")[1].split("-"))])
+        rows.write.parquet(f"{root}/{name}")
+    return bt.read_split(spark, root, "train", "en", "fr", upsample_primary=3).select(
+        "pair_id", F.col("shard").cast("bigint").alias("shard"), F.col("copy").cast("bigint").alias("copy"),
+        F.col("en").alias("src"), F.col("fr").alias("tgt"),
     )
 
 
 def _write_versions(spark, sf, specs, epochs):
     versions = tk.add_tasks(inp.clean(spark, sf), specs, epochs=epochs)
-    rows = versions.select(
-        "pair_id", F.lit("train").alias("split"), "epoch", "task",
-        F.transform("src_tok", lambda x: F.length(x) + 4).alias("src_ids"),
-        F.transform("tgt_tok", lambda x: F.length(x) + 4).alias("tgt_ids"),
-    )
+    arrays = {"src_ids": "src_tok", "tgt_ids": "tgt_tok"}
+    rows = vo.encode(versions, vocabulary(spark, sf), ("pair_id", "epoch", "task"), arrays).withColumn("split", F.lit("train"))
     path = scratch_path(spark, "encoded")
     tb.write_encoded(rows, path)
     return path
@@ -93,11 +99,11 @@ def _(spark, sf):
 
 @query(
     "src8_epoch_scan",
-    """SELECT pair_id, 'shuf' AS task, array_to_string(list(len(w)+4 ORDER BY k), ' ') AS ids FROM (
-         SELECT pair_id, tt[i] AS w, md5(concat_ws('|','17','shuf',2,pair_id,i-1)) AS k FROM cp, unnest(range(1, len(tt)+1)) u(i)) GROUP BY pair_id
-       UNION ALL SELECT pair_id, 'base', array_to_string(list_transform(tt, lambda w: len(w)+4), ' ') FROM cp
-       UNION ALL SELECT pair_id, 'rev', array_to_string(list_reverse(list_transform(tt, lambda w: len(w)+4)), ' ') FROM cp""",
-    "cp",
+    """SELECT pair_id, 'shuf' AS task, array_to_string(list_append(list(id ORDER BY k), 2), ' ') AS ids FROM (
+         SELECT pair_id, t[i] AS id, md5(concat_ws('|','17','shuf',2,pair_id,i-1)) AS k FROM enc, unnest(range(1, len(t))) u(i)) GROUP BY pair_id
+       UNION ALL SELECT pair_id, 'base', array_to_string(t, ' ') FROM enc
+       UNION ALL SELECT pair_id, 'rev', array_to_string(list_append(list_reverse(t[1:len(t)-1]), 2), ' ') FROM enc""",
+    "enc",
 )
 def _(spark, sf):
     # Training epoch 4 of 2 precomputed epochs: resampled tasks from epoch=2, the others from epoch=1.
@@ -130,9 +136,9 @@ def _(spark, sf):
 
 @query(
     "src11_encoded_sink",
-    """SELECT pair_id, task, array_to_string(list_transform(CASE task WHEN 'base' THEN tt ELSE list_reverse(tt) END, lambda x: len(x)+4), ' ') AS ids
-       FROM cp, (VALUES ('base'), ('rev')) v(task)""",
-    "cp",
+    """SELECT pair_id, task, array_to_string(CASE task WHEN 'base' THEN t ELSE list_append(list_reverse(t[1:len(t)-1]), 2) END, ' ') AS ids
+       FROM enc, (VALUES ('base'), ('rev')) v(task)""",
+    "enc",
 )
 def _(spark, sf):
     path = _write_versions(spark, sf, [TaskSpec("rev")], 1)

@@ -115,6 +115,26 @@ def existing_shards(spark: SparkSession, root: str, split: str, src: str, tgt: s
         found.append(hit[0])
 
 
+def read_split(
+    spark: SparkSession, root: str, split: str, src: str, tgt: str, upsample_primary: int = 1, combine: bool = True
+) -> DataFrame:
+    """All shards of a split, found by path: `<split>`, `<split>1`, ... until one is missing.
+
+    A shard is a Parquet folder in either direction; its name gives the direction, and its columns are
+    named by language, so the result has one order of sides. `shard` is the place in the order of
+    discovery; rows of the first shard come `upsample_primary` times (`copy`). Without
+    `combine` only the first shard is read. No shard at all is an error.
+    """
+    found = existing_shards(spark, root, split, src, tgt)
+    if not found:
+        raise FileNotFoundError(f"no {split} of {src}-{tgt} below {root}")
+    shards = [spark.read.parquet(path) for path in (found if combine else found[:1])]
+    for path, shard in zip(found, shards):
+        if not {src, tgt} <= set(shard.columns):
+            raise ValueError(f"{path} has no columns {src} and {tgt}")
+    return read_shards(spark, shards, upsample_primary)
+
+
 def _exists(jvm, conf, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(conf).exists(p)

@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,23 @@ def read_encoded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def list_auxiliaries(spark: SparkSession, path: str) -> DataFrame:
-    """Tasks present below a partitioned corpus, other than the base."""
-    return spark.read.parquet(path).where("task <> 'base'").select("task").distinct()
+def list_auxiliaries(spark: SparkSession, path: str, column: str = "task") -> DataFrame:
+    """Tasks present below a partitioned corpus, other than the base.
+
+    They are read from the names of the partition folders, level by level; no data file is opened
+    and no row is scanned.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    start = jvm.org.apache.hadoop.fs.Path(path)
+    fs = start.getFileSystem(conf)
+    level, names = [start], set()
+    while level:
+        below = [s.getPath() for folder in level for s in fs.listStatus(folder) if s.isDirectory()]
+        named = [(p, p.getName().partition("=")) for p in below if "=" in p.getName()]
+        names |= {value for _, (key, _, value) in named if key == column}
+        level = [p for p, (key, _, _) in named if key != column]
+    tasks = [(unquote(n),) for n in sorted(names) if n != "base"]
+    return spark.createDataFrame(tasks, f"{column} string")
 
 
 def read_epoch(spark: SparkSession, path: str, epoch: int, epochs: int, resampled: tuple[str, ...]) -> DataFrame:
