@@ -20,9 +20,12 @@ SPECIALS = ("<s>", "<pad>", "</s>", "<unk>")
 # Fixed value: name of the symbols that fill a vocabulary up to a round size.
 FILLER = "madeupword"
 
-# Task names, split by how they are computed.
-FIXED_TASKS = ("base", "src", "copy", "rev", "alpha", "invalpha", "length", "invlength", "mono")
-RESAMPLED_TASKS = ("shuf", "wrdp", "wrdp2", "swap", "replace", "replace_tgt")
+# Task names. Resampled tasks get a new version in each precomputed epoch; the
+# others keep that of epoch 1, those drawn at random included, unless a task asks for it.
+FIXED_TASKS = (
+    "base", "src", "copy", "rev", "alpha", "invalpha", "length", "invlength", "mono", "shuf", "replace_tgt",
+)
+RESAMPLED_TASKS = ("wrdp", "wrdp2", "swap", "replace")
 REJECTED_TASKS = ("bpe", "rev2")
 NEEDS_ALPHA = ("wrdp", "wrdp2", "swap", "replace", "replace_tgt")
 BILINGUAL_TASKS = ("mono", "replace", "replace_tgt")
@@ -44,10 +47,11 @@ class CleanConfig:
 
 @dataclass(frozen=True)
 class TaskSpec:
-    """One auxiliary task of a mixture."""
+    """One auxiliary task of a mixture; `resample` overrides the schedule of its name."""
 
     name: str
     alpha: float | None = None
+    resample: bool | None = None
 
     def __post_init__(self) -> None:
         if self.name in REJECTED_TASKS:
@@ -60,7 +64,7 @@ class TaskSpec:
 
     @property
     def resampled(self) -> bool:
-        return self.name in RESAMPLED_TASKS
+        return self.name in RESAMPLED_TASKS if self.resample is None else self.resample
 
 
 def parse_tasks(names: str, alphas: str | None = None) -> list[TaskSpec]:

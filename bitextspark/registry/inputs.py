@@ -28,7 +28,7 @@ def pairs_of(documents: DataFrame) -> DataFrame:
         F.slice("ls", F.lit(2), F.size("ls") - 1).alias("tgt"),
     )
     return docs.select("doc_id", "lang", F.posexplode(both).alias("pos", "z")).select(
-        (F.col("doc_id") * 100000 + F.col("pos") + 1).alias("pair_id"),
+        (F.col("doc_id") * (1 << 32) + F.col("pos") + 1).alias("pair_id"),
         "lang",
         F.col("z.src").alias("src"),
         F.col("z.tgt").alias("tgt"),
@@ -69,7 +69,7 @@ def sql_differs(a: str, b: str) -> str:
 
 view(
     "pairs",
-    """SELECT doc_id*100000+i AS pair_id, lang, ls[i] AS src, ls[i+1] AS tgt
+    """SELECT doc_id*4294967296+i AS pair_id, lang, ls[i] AS src, ls[i+1] AS tgt
        FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents) d,
             unnest(range(1, len(ls))) r(i)""",
 )

@@ -310,13 +310,13 @@ def dialog_pairs(spark, sf):
     users = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("src"))
     replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt"))
     return users.join(replies, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"), "src", "tgt"
+        (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("pair_id"), "src", "tgt"
     )
 
 
 view(
     "dialog",
-    """SELECT u.conv_id*100+u.turn AS pair_id, u.text AS src, a.text AS tgt FROM conversations u
+    """SELECT u.conv_id*4294967296+u.turn AS pair_id, u.text AS src, a.text AS tgt FROM conversations u
        JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
        WHERE u.role = 'user' AND a.role = 'assistant'""",
 )

@@ -107,7 +107,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # Training epoch 4 of 2 precomputed epochs: resampled tasks from epoch=2, the others from epoch=1.
-    path = _write_versions(spark, sf, [TaskSpec("shuf"), TaskSpec("rev")], 2)
+    path = _write_versions(spark, sf, [TaskSpec("shuf", resample=True), TaskSpec("rev")], 2)
     return tb.read_epoch(spark, path, 4, 2, ("shuf",)).select("pair_id", "task", ids_text(F.col("tgt_ids")).alias("ids"))
 
 
@@ -123,12 +123,12 @@ def _(spark, sf):
 
 @query(
     "src10_generation_log",
-    """SELECT conv_id * 100 + turn AS id, regexp_replace(text, '[\\n\\t]', ' ', 'g') AS hyp FROM conversations WHERE role = 'assistant'""",
+    """SELECT conv_id * 4294967296 + turn AS id, regexp_replace(text, '[\\n\\t]', ' ', 'g') AS hyp FROM conversations WHERE role = 'assistant'""",
 )
 def _(spark, sf):
     # Assistant turns are hypotheses; user turns are the S- and P- noise around them.
     flat = F.regexp_replace("text", "[\n\t]", " ")
-    ident = (F.col("conv_id") * 100 + F.col("turn")).cast("string")
+    ident = (F.col("conv_id") * (1 << 32) + F.col("turn")).cast("string")
     kind = F.when(F.col("role") == "assistant", "H-").when(F.col("turn") % 4 == 0, "S-").otherwise("P-")
     log = inp.table(spark, sf, "conversations").select(F.concat_ws("\t", F.concat(kind, ident), F.lit("-0.5"), flat).alias("value"))
     return tb.extract_hypotheses(log)

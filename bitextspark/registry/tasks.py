@@ -8,9 +8,10 @@ from bitextspark.config import RESAMPLED_TASKS, TaskSpec
 from bitextspark.functions import text as tx
 from bitextspark.operators import mixture as mx
 from bitextspark.operators import tasks as tk
+from bitextspark.operators.subword import segment_text
 from bitextspark.plans.corpus import CorpusBuild, CorpusConfig, task_statistics
 from bitextspark.registry import inputs as inp
-from bitextspark.registry.base import query
+from bitextspark.registry.base import query, view
 from bitextspark.registry.rows import MASKED
 from bitextspark.scale import scratch_path
 
@@ -70,13 +71,27 @@ def _(spark, sf):
     return one_task(spark, sf, "wrdp", 0.3)
 
 
+# Pairs whose target is segmented (200 merges).
+view(
+    "units",
+    """SELECT cp.pair_id, st, u.tt FROM cp JOIN (SELECT pair_id, string_split(string_agg(units, ' ' ORDER BY i), ' ') AS tt FROM
+         (SELECT pair_id, i, tt[i] AS word FROM cp, unnest(range(1, len(tt)+1)) u(i)) JOIN seg USING (word) GROUP BY pair_id) u ON u.pair_id = cp.pair_id""",
+    "cp",
+    "seg",
+)
+
+
 @query(
     "aux10_subword_dropout",
-    f"SELECT pair_id, array_to_string(m, ' ') AS tgt FROM {MASKED.format(task='wrdp2', epoch=1, alpha=0.5)}",
-    "cp",
+    f"SELECT pair_id, array_to_string(m, ' ') AS tgt FROM {MASKED.format(task='wrdp2', epoch=1, alpha=0.5).replace('FROM cp', 'FROM units')}",
+    "units",
 )
 def _(spark, sf):
-    return one_task(spark, sf, "wrdp2", 0.5)
+    from bitextspark.registry.iterative import merges
+
+    units = inp.clean(spark, sf).select("pair_id", "src_tok", segment_text(F.col("tgt"), merges(spark, sf)).alias("units"))
+    made = tk.add_tasks(units.withColumn("tgt_tok", F.split("units", " ")), [TaskSpec("wrdp2", 0.5)], include_base=False)
+    return made.select("pair_id", tx.join_tokens(F.col("tgt_tok")).alias("tgt"))
 
 
 SWAPPED = f"""
@@ -100,11 +115,6 @@ def _(spark, sf):
     return one_task(spark, sf, "swap", 0.5)
 
 
-@query("aux15_none", "SELECT count(*) AS n FROM cp WHERE false", "cp")
-def _(spark, sf):
-    return tk.none_task(inp.clean(spark, sf)).agg(F.count(F.lit(1)).alias("n"))
-
-
 TWO_EPOCHS = f"""
   SELECT pair_id, 'base' AS task, 1::BIGINT AS epoch, tt AS t FROM cp
   UNION ALL SELECT pair_id, 'rev', 1, list_reverse(tt) FROM cp
@@ -114,7 +124,7 @@ TWO_EPOCHS = f"""
      SELECT 1 AS e, pair_id, {SHUFFLED.format(key=sql_key('shuf', 1, 'i-1'))} AS m FROM cp
      UNION ALL SELECT 2, pair_id, {SHUFFLED.format(key=sql_key('shuf', 2, 'i-1'))} FROM cp)
 """
-SPECS = [TaskSpec("rev"), TaskSpec("wrdp", 0.3), TaskSpec("shuf")]
+SPECS = [TaskSpec("rev"), TaskSpec("wrdp", 0.3), TaskSpec("shuf", resample=True)]
 
 
 @query(
@@ -132,11 +142,12 @@ def _(spark, sf):
 @query(
     "mix2_epoch_view",
     f"""SELECT pair_id, task, array_to_string(t, ' ') AS tgt FROM ({TWO_EPOCHS})
-        WHERE epoch = CASE WHEN task IN ('wrdp','shuf') THEN 2 ELSE 1 END""",
+        WHERE epoch = CASE WHEN task = 'wrdp' THEN 2 ELSE 1 END""",
     "cp",
 )
 def _(spark, sf):
-    # Training epoch 4 over two precomputed epochs reads epoch 2 of the resampled tasks.
+    # Training epoch 4 over two precomputed epochs reads epoch 2 of the resampled tasks; by
+    # the schedule these do not include `shuf`.
     versions = tk.add_tasks(inp.clean(spark, sf), SPECS, epochs=2)
     seen = tk.epoch_view(versions, 4, 2, RESAMPLED_TASKS)
     return seen.select("pair_id", "task", tx.join_tokens(F.col("tgt_tok")).alias("tgt"))

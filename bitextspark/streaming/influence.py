@@ -28,5 +28,7 @@ def stream_influence(pert: DataFrame, ts: str = "ts", width: str = "1 day", late
     total = F.col("v_source") + F.col("v_target")
     scored = tokens.withColumn("influence", F.when(total > 0, F.col("v_source") / total))
     return scored.groupBy("window").agg(
-        F.avg("influence").alias("source_influence"), F.count("influence").alias("tokens")
-    ).select(F.col("window.start").alias("start"), F.round("source_influence", 6).alias("source_influence"), "tokens")
+        F.avg("influence").alias("source_influence"),
+        F.count("influence").alias("tokens"),
+        (F.count(F.lit(1)) - F.count("influence")).alias("undefined"),
+    ).select(F.col("window.start").alias("start"), F.round("source_influence", 6).alias("source_influence"), "tokens", "undefined")

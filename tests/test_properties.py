@@ -53,7 +53,7 @@ def test_task_invariants(spark):
             assert all(a == b or b == "★" for a, b in zip(tgt, r.tgt_tok))
         else:
             assert sorted(r.tgt_tok) == sorted(tgt)
-    resampled = {"shuf", "wrdp", "wrdp2", "swap"}
+    resampled = {"wrdp", "wrdp2", "swap"}
     assert seen == {
         (s, e): len(base)
         for s in ["base"] + [x.name for x in SPECS]
@@ -395,7 +395,7 @@ def test_corpus_build_stages(spark, tmp_path):
     n = build.segmented().count()
     assert n == 40
     counts = Counter((r.task, r.epoch) for r in rows)
-    assert counts == {("base", 1): n, ("src", 1): n, ("mono", 1): n, ("wrdp", 1): n, ("wrdp", 2): n, ("replace_tgt", 1): n, ("replace_tgt", 2): n}
+    assert counts == {("base", 1): n, ("src", 1): n, ("mono", 1): n, ("wrdp", 1): n, ("wrdp", 2): n, ("replace_tgt", 1): n}
     tags = {"base": "TO_fr", "src": "TO_frtrain2", "wrdp": "TO_frtrain3", "replace_tgt": "TO_frtrain4", "mono": "TO_frtrain5"}
     for r in rows:
         assert r.src.startswith(tags[r.task] + " ◹ ")
