@@ -109,12 +109,13 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: i
 def passages(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = REACH, min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """`(doc_id, start, end, n_words, n_chunks, first_doc, removed)`: one row per passage
-    that occurs in another document too.
+    """`(doc_id, start, end, n_words, n_chunks, first_doc, removed)`: the parts of passages
+    that occur in another document too.
 
-    `first_doc` is the smallest id that holds all its chunks' first occurrences (the
-    smallest among them); `removed` is false in that document, where the passage stays.
-    Repeats within one document alone are not reported. Rows with null ids are left out,
+    A passage is a run of repeated chunks of `min_words` words or more. It is cut into parts by what
+    happens to its chunks: a chunk is `removed` unless this document is the smallest id that holds it, so
+    each chunk stays in one document at least. `first_doc` is the smallest of the ids that its
+    chunks stay in. Repeats within one document alone are not reported. Rows with null ids are left out,
     rows that repeat an id count as one document's. An empty table gives no rows.
     """
     cut = chunks(docs, doc_id, text, reach)
@@ -128,21 +129,26 @@ def passages(
     # Consecutive ordinals share ordinal - rank. A document is one row's worth of chunks.
     order = W.partitionBy("doc_id").orderBy("ordinal", "start")
     run = repeated.withColumn("run", F.col("ordinal") - F.dense_rank().over(order))
-    grouped = run.groupBy("doc_id", "run").agg(
+    # Within a run: consecutive chunks of one decision; both windows share a sort.
+    decided = run.withColumn("removed", F.col("doc_id") != F.col("first_doc"))
+    turns = (F.col("removed") != F.lag("removed").over(order)).cast("int")
+    parts = decided.withColumn("turn", turns).withColumn("part", F.sum(F.coalesce("turn", F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    sized = parts.withColumn("run_words", F.sum("n_words").over(W.partitionBy("doc_id", "run")))
+    grouped = sized.where(F.col("run_words") >= min_words).groupBy("doc_id", "run", "part", "removed").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("n_words").cast("bigint").alias("n_words"),
         F.count(F.lit(1)).alias("n_chunks"),
         F.min("first_doc").alias("first_doc"),
     )
-    return grouped.where(F.col("n_words") >= min_words).select(
+    return grouped.select(
         F.col("doc_id").alias(doc_id),
         "start",
         "end",
         "n_words",
         "n_chunks",
         "first_doc",
-        (F.col("doc_id") != F.col("first_doc")).alias("removed"),
+        "removed",
     )
 
 
