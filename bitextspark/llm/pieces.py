@@ -4,7 +4,7 @@ A chunk is a run of whitespace markers and the characters up to the next marker.
 given vocabulary no piece has a marker after another character (checked when it is
 loaded), so no merge crosses the border between chunks and a text's ids are the ids of
 its chunks, joined by position. Each task segments a distinct chunk once; the table is
-emptied when it holds `MAX_CHUNKS` entries, so its memory is bounded and results do not
+bounded in entries and bytes and emptied when the task ends, and results do not
 depend on it. Vocabularies without that property are encoded text by text.
 
 The table is built where the texts are, not by a shuffle: exploding words, joining them
@@ -26,7 +26,6 @@ from bitextspark.llm.tables import DistinctTable
 from bitextspark.llm.words import blocks, texts
 
 MARK = "▁"
-MAX_CHUNKS = 400_000
 SLICE_BYTES = 1 << 20
 _RUNS = re.compile(" +[^ ]*")
 _TABLES: dict[str, "ChunkTable"] = {}
@@ -50,7 +49,7 @@ class ChunkTable:
         )
         self.is_byte = np.array([self.model.is_byte(i) for i in range(len(pieces))])
         self.lone = self.model.piece_to_id(MARK)
-        self.table = DistinctTable(self._segment, MAX_CHUNKS)
+        self.table = DistinctTable(self._segment)
 
     def _segment(self, chunks: list[str]) -> list[list[int]]:
         """The empty chunk is a marker that nothing follows."""
@@ -104,16 +103,35 @@ def encode(df: DataFrame, model_path: str, text: str = "text", out: str = "ids")
     columns pass through. A column that is named like `out` raises when the plan is made.
     """
 
+    return _encoded(df, model_path, text, out, None)
+
+
+def round_trip(df: DataFrame, model_path: str, text: str = "text", out: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Append `out` as `encode` does and `decoded` as `decode` does, in one step: a task has one
+    worker with one model and one table."""
+    return _encoded(df, model_path, text, out, decoded)
+
+
+def _encoded(df: DataFrame, model_path: str, text: str, out: str, decoded: str | None) -> DataFrame:
+    schema = _append(df.schema, out, T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = _append(schema, decoded, T.StringType())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = table(model_path)
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            for block in blocks(batch.column(at), SLICE_BYTES):
-                flat, bounds = chunks.encode(texts(block))
-                rows = batch.slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([*rows.columns, id_lists(flat, bounds)], names=[*batch.schema.names, out])
-
-    return df.mapInArrow(run, _append(df.schema, out, T.ArrayType(T.IntegerType())))
+        try:
+            for batch in batches:
+                at = batch.schema.get_field_index(text)
+                for block in blocks(batch.column(at), SLICE_BYTES):
+                    flat, bounds = chunks.encode(texts(block))
+                    columns = [*batch.slice(block.first, block.rows).columns, id_lists(flat, bounds)]
+                    if decoded:
+                        columns.append(pa.array(chunks.decode(flat, bounds), pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        finally:
+            chunks.table.release()
+
+    return df.mapInArrow(run, schema)
 
 
 def _id_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -44,14 +44,12 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
 @register
 def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "text")
-    encoded = pieces.encode(docs, PIECES).select("doc_id", "ids")
-    decoded = pieces.decode(encoded.withColumn("joined", F.array_join(F.col("ids").cast("array<string>"), ",")).select(
+    return pieces.round_trip(docs, PIECES).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2("joined", 256).alias("ids_sha256"),
-        "ids",
-    ), PIECES, drop_ids=True)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 @register

@@ -3,26 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
 
 class DistinctTable:
-    """`segment` is called once for each distinct string until the table holds `limit`
-    strings; then it starts anew. Results do not depend on when that happens."""
+    """`segment` is called once for each distinct string that the table holds.
 
-    def __init__(self, segment: Callable[[list[str]], list[list[int]]], limit: int = 400_000):
-        self.segment, self.limit = segment, limit
-        self._clear()
+    Beyond `limit` strings, or `limit_bytes` of letters and ids, the older half of the strings is kept:
+    frequent strings are met early. Results do not depend on what is kept. `release` empties the
+    table when a task ends, so an idle worker holds nothing.
+    """
 
-    def _clear(self) -> None:
+    def __init__(self, segment: Callable[[list[str]], list[list[int]]], limit: int = 200_000, limit_bytes: int = 16_000_000):
+        self.segment, self.limit, self.limit_bytes = segment, limit, limit_bytes
+        self.release()
+
+    def release(self) -> None:
         self.codes: dict[str, int] = {}
+        self.letters = 0
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.sizes = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
+    def _full(self) -> bool:
+        return len(self.codes) > self.limit or self.letters + 4 * self.used > self.limit_bytes
+
+    def _shrink(self) -> None:
+        kept = dict(islice(self.codes.items(), len(self.codes) // 2))
+        self.letters = sum(map(len, kept))
+        self.codes = kept
+        self.used = int(self.starts[len(kept)]) if kept else 0
+        if self._full():  # a few very long strings
+            self.release()
+
     def _add(self, strings: list[str]) -> None:
         found = self.segment(strings)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
@@ -36,12 +52,13 @@ class DistinctTable:
         self.starts[first : first + len(strings)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[first : first + len(strings)] = sizes
         self.codes.update(zip(strings, range(first, first + len(strings))))
+        self.letters += sum(map(len, strings))
         self.used += total
 
     def join(self, per_text: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts by position, flat, and the bounds of each text."""
-        if len(self.codes) > self.limit:
-            self._clear()
+        if self._full():
+            self._shrink()
         counts = np.cumsum([0, *map(len, per_text)])
         every = list(chain.from_iterable(per_text))
         new = set(every).difference(self.codes)

@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +124,7 @@ class WordEncoder:
         self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.letters = _byte_letters()
         self.words: dict[str, list[int]] = {}
-        self.chunks = DistinctTable(lambda chunks: [self._chunk(c) for c in chunks], MAX_ENTRIES)
+        self.chunks = DistinctTable(lambda chunks: [self._chunk(c) for c in chunks], MAX_ENTRIES, 32_000_000)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = all(self._chunk(p.lower()) == self._whole([p])[0] for p in self.PROBES)
 
@@ -144,8 +145,8 @@ class WordEncoder:
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block's texts, flat, and the bounds of each text."""
-        if len(self.words) > MAX_ENTRIES:
-            self.words = {}
+        if len(self.words) > MAX_ENTRIES:  # the older half has the frequent words
+            self.words = dict(islice(self.words.items(), MAX_ENTRIES // 2))
         data = block.data
         odd = ~_PLAIN[data]
         pair = (data[1:] & 0xC0 == 0x80) & (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)

@@ -312,6 +312,41 @@ def test_repeated_passages(spark, odd, nothing):
     substrings.passages(odd).collect()
 
 
+def test_every_repeated_chunk_stays_in_one_document(spark):
+    """Random documents made of overlapping parts; document 1 holds X, the next ones X Y, and so on."""
+    rng = random.Random(12)
+    parts = [prose(30, 200 + k) for k in range(12)]
+    rows = [(1, parts[0]), (2, f"{parts[0]} {parts[1]}"), (3, f"{parts[0]} {parts[1]}")]
+    rows += [(i, " ".join(rng.choices(parts, k=rng.randint(1, 6)))) for i in range(4, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = substrings.passages(docs)
+    cuts, gone, left = {}, set(), set()
+    for r in found.where("removed").collect():
+        cuts.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert cuts
+    for c in substrings.chunks(docs).collect():
+        removed = any(a <= c.start and c.end <= b for a, b in cuts.get(c.doc_id, ()))
+        (gone if removed else left).add(c.digest)
+    assert gone and gone <= left
+    assert len(substrings.without(docs, found).where("length(text) > 0").collect()) > 3
+
+
+def test_distinct_table_keeps_the_older_half():
+    from bitextspark.llm.tables import DistinctTable
+
+    asked = []
+    table = DistinctTable(lambda s: asked.append(list(s)) or [[len(x), 7] for x in s], limit=10, limit_bytes=2000)
+    rng = random.Random(1)
+    for k in range(60):
+        texts = [["common", *(f"x{rng.randint(0, 400)}" for _ in range(5))], [], ["y" * rng.choice([1, 50, 3000])]]
+        flat, bounds = table.join(texts)
+        assert flat.tolist() == [v for t in texts for x in t for v in (len(x), 7)] and bounds.tolist() == [0, 12, 12, 14]
+        assert len(table.codes) <= 20
+    assert sum("common" in a for a in asked) < 25
+    table.release()
+    assert not table.codes and table.used == 0
+
+
 def test_licences(spark, odd, nothing):
     rows = [
         (1, "Under the MIT License. under the mit license"), (2, "Licensed under CC BY-NC 4.0."), (3, None), (4, "MIT License"),
