@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from bitextspark.llm.tables import DistinctTable
-from bitextspark.llm.words import blocks, texts
+from bitextspark.llm.words import blocks, give_back, texts
 
 MARK = "▁"
 SLICE_BYTES = 1 << 20
@@ -130,6 +130,7 @@ def _encoded(df: DataFrame, model_path: str, text: str, out: str, decoded: str |
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         finally:
             chunks.table.release()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

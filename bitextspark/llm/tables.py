@@ -61,9 +61,9 @@ class DistinctTable:
             self._shrink()
         counts = np.cumsum([0, *map(len, per_text)])
         every = list(chain.from_iterable(per_text))
-        new = set(every).difference(self.codes)
+        new = [x for x in dict.fromkeys(every) if x not in self.codes]
         if new:
-            self._add(list(new))
+            self._add(new)
         codes = np.fromiter(map(self.codes.__getitem__, every), dtype=np.int64, count=len(every))
         sizes = self.sizes[codes]
         ends = np.cumsum(sizes)

@@ -7,15 +7,18 @@ or by the longest single text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
+#: The C library's call for it, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _POWERS = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
 
 
@@ -58,6 +61,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that idle and reused workers stay small."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 @dataclass
 class Block:
     """Some rows of a batch: `data` are their bytes, row i is data[bounds[i]:bounds[i + 1]]."""
@@ -85,6 +95,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         end = min(end, n)
         yield Block(row, end - row, data[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row])
         row = end
+    give_back()
 
 
 @dataclass
