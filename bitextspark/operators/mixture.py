@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bitextspark.config import DEFAULT_SEED
@@ -39,6 +40,37 @@ def draw_task(batch_id: Column, weights: list[tuple[str, float]], seed: int = DE
     return F.lit(last) if ladder is None else ladder.otherwise(last)
 
 
+def as_of(batches: DataFrame, versions: DataFrame, value: str, key: str = "key", step: str = "step") -> DataFrame:
+    """`batches` with `value` of the last of `versions` whose step is smaller (null before the first).
+
+    Both tables are sorted together by key and step, and the last value seen is carried on:
+    one shuffle by key, no pair of rows is compared. The rows of a key are one sorted stream,
+    as the versions of one experiment are.
+    """
+    columns = batches.columns
+    both = batches.withColumn("__version", F.lit(0)).unionByName(
+        versions.select(F.col(key), F.col(step), F.col(value), F.lit(1).alias("__version")), allowMissingColumns=True
+    )
+    before = W.partitionBy(key).orderBy(step, "__version").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return both.withColumn(value, F.last(value, ignorenulls=True).over(before)).where("__version = 0").select(*columns, value)
+
+
+def draw_by_versions(
+    batches: DataFrame, versions: DataFrame, tasks: list[str], key: str = "key", step: str = "step", seed: int = DEFAULT_SEED
+) -> DataFrame:
+    """Add `drawn`: a task for each batch, by the probabilities `probs` that were current at its step
+    (of `versions(key, step, probs)`, one number for each of `tasks`; uniform before the first).
+    The draw is keyed by the step."""
+    probs = F.coalesce(F.col("probs"), F.array(*[F.lit(1.0 / len(tasks)) for _ in tasks]))
+    u = sm.unit_interval(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("draw"), F.col(step))))
+    upper = F.lit(0.0)
+    drawn = F.when(F.lit(False), F.lit(""))
+    for k, task in enumerate(tasks[:-1]):
+        upper = upper + F.get(probs, F.lit(k))
+        drawn = drawn.when(u < upper, task)
+    return as_of(batches, versions, "probs", key, step).withColumn("drawn", drawn.otherwise(tasks[-1])).drop("probs")
+
+
 def mixture_loss(
     log: DataFrame, weights: list[tuple[str, float]], base_task: str = "base", assume_reduced: bool = False
 ) -> DataFrame:
