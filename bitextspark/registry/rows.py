@@ -22,9 +22,9 @@ def ids_text(c):
 
 
 def _stage(spark, sf, name, build):
-    """A table that several queries read, built once for each state of the documents."""
-    root = f"{checkpoint_dir(spark).rstrip('/')}/bitextspark/stages"
-    return run_stage(spark, root, name, {}, build, inputs=(inp.table(spark, sf, "documents"),))
+    """A table that several queries of one application read, built once for its input."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/bitextspark/stages-{spark.sparkContext.applicationId}"
+    return run_stage(spark, root, name, {}, build, inputs=(inp.clean(spark, sf),))
 
 
 def vocabulary(spark, sf):
