@@ -45,30 +45,31 @@ class Decontamination:
 
 
 class _Items:
-    """Word hashes of the benchmark and its n-grams."""
+    """Word hashes of the benchmark's rows and their n-grams. A row is known by its number here, so
+    rows with equal or null ids stay apart until the result is made."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
+    def __init__(self, rows: list[tuple[int | None, str]], n: int):
+        self.ids = [i for i, _ in rows]
         self.words: dict[int, np.ndarray] = {}
         grams: list[tuple[int, int]] = []
         for block in blocks(pa.array([t for _, t in rows], pa.string())):
             w = words(block, lower=True, separator=NOT_ALNUM)
             for i in range(block.rows):
-                item = rows[block.first + i][0]
-                self.words[item] = w.hash[w.first[i] : w.first[i + 1]]
+                self.words[block.first + i] = w.hash[w.first[i] : w.first[i + 1]]
             at, hashes = window_hash(w, n)
-            grams += [(int(h), rows[block.first + r][0]) for h, r in zip(hashes.view(np.int64), w.row[at])]
+            grams += zip(hashes.view(np.int64).tolist(), (block.first + w.row[at]).tolist())
         self.grams = sorted(set(grams))
         self.sorted = np.unique(np.array([g for g, _ in self.grams], dtype=np.int64).view(np.uint64))
         self.longest = max([n, *map(len, self.words.values())])
 
 
-def _item_rows(items: DataFrame, item_id: str, text: str) -> list[tuple[int, str]]:
-    """The benchmark's rows, after a check of their size."""
-    clean = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+def _item_rows(items: DataFrame, item_id: str, text: str) -> list[tuple[int | None, str]]:
+    """The benchmark's distinct rows, after a check of their size."""
+    clean = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").distinct()
     size = clean.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     if size > MAX_ITEM_BYTES:
         raise ValueError(f"benchmark texts of {size} bytes; split the benchmark into parts of {MAX_ITEM_BYTES}")
-    return sorted((r["i"], r["t"]) for r in clean.collect())
+    return sorted(((r["i"], r["t"]) for r in clean.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 WINDOWS = "doc_id bigint, start int, words binary, grams array<bigint>"
@@ -116,29 +117,38 @@ def windows(docs: DataFrame, items: _Items, cfg: Decontamination, doc_id: str, t
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, WINDOWS)
 
 
-def align(item: np.ndarray, passages: np.ndarray, cfg: Decontamination) -> tuple[np.ndarray, np.ndarray]:
+def align(item: np.ndarray, passages: np.ndarray, cfg: Decontamination) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best Smith-Waterman score of `item` in each row of `passages` (0-padded), and the
-    end (exclusive) of that alignment in the passage. Linear gap costs: a row of the
-    matrix takes a running maximum instead of a loop over its columns."""
+    ends (exclusive) of that alignment in the passage and in the item. Linear gap costs: a row
+    of the matrix takes a running maximum instead of a loop over its columns. Of equal scores
+    the one that ends first in the item counts, then the one that ends first in the passage."""
     count, width = passages.shape
     ramp = cfg.gap * np.arange(1, width + 1, dtype=np.float32)
     above = np.zeros((count, width + 1), dtype=np.float32)
-    best, end = np.zeros(count, np.float32), np.zeros(count, np.int64)
-    for word in item:
+    best, end, last = np.zeros(count, np.float32), np.zeros(count, np.int64), np.zeros(count, np.int64)
+    for at, word in enumerate(item):
         step = np.where(passages == word, np.float32(1), np.float32(-cfg.mismatch))
         row = np.maximum(np.maximum(above[:, :-1] + step, above[:, 1:] - np.float32(cfg.gap)), 0)
         row = np.maximum.accumulate(row + ramp, axis=1) - ramp
         top = row.argmax(axis=1)
         value = row[np.arange(count), top]
         better = value > best
-        best[better], end[better] = value[better], top[better] + 1
+        best[better], end[better], last[better] = value[better], top[better] + 1, at + 1
         above[:, 1:] = row
-    return best, end
+    return best, end, last
+
+
+def alignment_start(item: np.ndarray, passage: np.ndarray, end: int, last: int, cfg: Decontamination) -> int:
+    """Where the alignment that `align` found begins in the passage. Before its ends no other one
+    scores as much, so aligning both beginnings backwards finds this one again."""
+    if last <= end and np.array_equal(passage[end - last : end], item[:last]):
+        return end - last
+    return end - int(align(item[:last][::-1], passage[:end][::-1][None, :], cfg)[1][0])
 
 
 MATCHES = "doc_id bigint, item_id bigint, score double, start int, end int"
-#: `start` and `end` count from the window's first word.
-ALIGNED = "digest string, item_id bigint, score double, start int, end int"
+#: `item` is the number of a benchmark row; `start` and `end` count from the window's first word.
+ALIGNED = "digest string, item int, score double, start int, end int"
 
 
 def _aligned(pairs: DataFrame, items: _Items, cfg: Decontamination) -> DataFrame:
@@ -146,13 +156,13 @@ def _aligned(pairs: DataFrame, items: _Items, cfg: Decontamination) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            item_ids = batch.column(1).to_numpy(zero_copy_only=False)
+            numbers = batch.column(1).to_numpy(zero_copy_only=False)
             sizes = np.array([len(v.as_buffer()) // 8 for v in batch.column(2)], dtype=np.int64)
             keep: list[tuple[int, float, int, int]] = []
-            order = np.lexsort((sizes, item_ids))
-            cuts = np.flatnonzero(np.diff(item_ids[order], prepend=np.int64(-(1 << 62))))
+            order = np.lexsort((sizes, numbers))
+            cuts = np.flatnonzero(np.diff(numbers[order], prepend=-1))
             for a, b in zip(cuts, np.append(cuts[1:], len(order))):
-                item = item_words[int(item_ids[order[a]])]
+                item = item_words[int(numbers[order[a]])]
                 at = a
                 while at < b:  # passages of like length, up to 4 million cells a row at once
                     width = sizes[order[at]]
@@ -163,11 +173,12 @@ def _aligned(pairs: DataFrame, items: _Items, cfg: Decontamination) -> DataFrame
                     block = np.zeros((len(rows), int(sizes[rows].max())), dtype=np.uint64)
                     for k, r in enumerate(rows):
                         block[k, : sizes[r]] = np.frombuffer(batch.column(2)[int(r)].as_buffer(), dtype=np.uint64)
-                    best, end = align(item, block, cfg)
+                    best, end, last = align(item, block, cfg)
                     for k, r in enumerate(rows):
                         score = float(best[k]) / len(item)
                         if score >= cfg.min_score:
-                            keep.append((int(r), round(score, 6), max(0, int(end[k]) - len(item)), int(end[k])))
+                            begin = alignment_start(item, block[k, : sizes[r]], int(end[k]), int(last[k]), cfg)
+                            keep.append((int(r), round(score, 6), begin, int(end[k])))
                     at = upto
             rows = pa.array([k[0] for k in keep], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -178,10 +189,10 @@ def _aligned(pairs: DataFrame, items: _Items, cfg: Decontamination) -> DataFrame
                     pa.array([k[2] for k in keep], pa.int32()),
                     pa.array([k[3] for k in keep], pa.int32()),
                 ],
-                names=["digest", "item_id", "score", "start", "end"],
+                names=["digest", "item", "score", "start", "end"],
             )
 
-    return pairs.select("digest", "item_id", "words").mapInArrow(run, ALIGNED)
+    return pairs.select("digest", "item", "words").mapInArrow(run, ALIGNED)
 
 
 def matches(
@@ -195,10 +206,11 @@ def matches(
 ) -> DataFrame:
     """`(doc_id, item_id, score, start, end)`: documents that hold a copy of an item.
 
-    One row per document and item, of the best passage; `start` and `end` are word
-    positions. Null and empty texts and items shorter than `n` words match nothing; rows
-    with a null id are matched and keep the null. Repeated documents and items give one row
-    per pair of ids. Empty tables give no rows. Other columns are not read.
+    One row per document id and item id, of the best passage (ties: the first); `start` and `end`
+    are the word positions of its alignment. Null and empty texts and items shorter than `n` words
+    match nothing; rows with a null id are matched and keep the null. Different items of one id are
+    all looked for; documents and items that share an id give one row per pair of ids. Empty tables
+    give no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     items = _Items(_item_rows(benchmark, item_id, item_text), cfg.n)
@@ -209,12 +221,16 @@ def matches(
     distinct = found.groupBy("digest").agg(F.first("words").alias("words"), F.first("grams").alias("grams"))
     distinct = _store(distinct, "distinct")
     postings = spark.createDataFrame(
-        pa.table({"gram": pa.array([g for g, _ in items.grams], pa.int64()), "item_id": pa.array([i for _, i in items.grams], pa.int64())})
+        pa.table({"gram": pa.array([g for g, _ in items.grams], pa.int64()), "item": pa.array([i for _, i in items.grams], pa.int32())})
+    )
+    ids = spark.createDataFrame(
+        pa.table({"item": pa.array(range(len(items.ids)), pa.int32()), "item_id": pa.array(items.ids, pa.int64())})
     )
     # At most the benchmark's n-grams, whose texts were checked above.
     shared = distinct.select("digest", F.explode("grams").alias("gram")).join(F.broadcast(postings), "gram")
-    pairs = shared.select("digest", "item_id").distinct()
+    pairs = shared.select("digest", "item").distinct()
     scored = _aligned(distinct.drop("grams").join(pairs, "digest"), items, cfg)
+    scored = scored.join(F.broadcast(ids), "item")
     aligned = found.select("doc_id", F.col("start").alias("at"), "digest").join(scored, "digest").select(
         "doc_id", "item_id", "score", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end")
     )
