@@ -2,9 +2,10 @@
 
 1. Document frequencies of the licence vocabulary are counted over the whole corpus.
 2. Each template is indexed by its `seeds` words of highest inverse document frequency that
-   stand in its key phrases, with their positions: the postings.
+   stand in its key phrases, with all their positions there: the postings.
 3. A file's seed words are looked up. A word at position p that has a posting (template, q)
-   votes for the template starting at p - q; votes meet by (template, start).
+   says that the template starts at p - q. A place holds all key phrases, so it has the same start
+   in every posting of its template: the starts of the postings are intersected.
 4. A start counts only if the template's mandatory key phrases stand at their relative
    positions, word for word. The score is the share of the template's words in place.
 
@@ -108,29 +109,35 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...], text:
 
 @dataclass(frozen=True)
 class Index:
-    """Seed words and postings; `idf` is kept for inspection."""
+    """Postings (word, position) of each template, rarest word first; `idf` is kept for inspection."""
 
     templates: tuple[Template, ...]
-    postings: dict[str, tuple[tuple[int, int], ...]]
+    postings: tuple[tuple[tuple[str, int], ...], ...]
     idf: dict[str, float]
 
+    @property
+    def rarest(self) -> list[str]:
+        """The first word of each template: a text without any of them holds no template."""
+        return sorted({p[0][0] for p in self.postings})
+
+    @property
+    def seeds(self) -> list[str]:
+        return sorted({w for p in self.postings for w, _ in p})
 
-def build_index(frequencies: dict[str, int], documents: int, templates: tuple[Template, ...], seeds: int = 1) -> Index:
-    """Index the `seeds` rarest words of each template's rarest key phrase. A place of a template
-    holds all its key phrases, so one word finds each place.
+
+def build_index(frequencies: dict[str, int], documents: int, templates: tuple[Template, ...], seeds: int = 3) -> Index:
+    """Index the `seeds` rarest words of all key phrases of each template, with their positions.
 
     Ties are broken by the word, so the index is the same on every run."""
     idf = {
         w: math.log((documents + 1) / (frequencies.get(w, 0) + 1)) for t in templates for k in t.keys for w in k.split()
     }
-    postings: dict[str, set[tuple[int, int]]] = {}
-    for number, t in enumerate(templates):
-        start, key = max(t.key_spans(), key=lambda s: (max(idf[w] for w in s[1]), -s[0]))
-        for w in sorted(set(key), key=lambda w: (-idf[w], w))[:seeds]:
-            for q, other in enumerate(key):
-                if other == w:
-                    postings.setdefault(w, set()).add((number, start + q))
-    return Index(templates, {w: tuple(sorted(p)) for w, p in sorted(postings.items())}, idf)
+    postings = []
+    for t in templates:
+        places = sorted({(w, start + q) for start, key in t.key_spans() for q, w in enumerate(key)})
+        chosen = sorted({w for w, _ in places}, key=lambda w: (-idf[w], w))[:seeds]
+        postings.append(tuple((w, q) for c in chosen for w, q in places if w == c))
+    return Index(templates, tuple(postings), idf)
 
 
 def _array(values: list[str]) -> Column:
@@ -148,8 +155,8 @@ def scan(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
         raise ValueError(f"the table has columns {sorted(clash)} already; drop or rename them")
     body = F.coalesce(F.col(text), F.lit(""))
     edge = WORD.rstrip("+")
-    some_seed = body.rlike(f"(?i)(?<!{edge})(?:{'|'.join(index.postings)})(?!{edge})")
-    seeds = _array(list(index.postings))
+    some_seed = body.rlike(f"(?i)(?<!{edge})(?:{'|'.join(index.rarest)})(?!{edge})")
+    seeds = _array(index.seeds)
     words = words_of(F.col(text))
 
     # Blank words before the text: a template may be cut off by the beginning of the file.
@@ -158,10 +165,10 @@ def scan(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     def located(bare: Column) -> Column:
         w = F.concat(F.array_repeat(F.lit(""), pad), bare)
         placed = F.transform(bare, lambda x, i: F.struct((i + pad).alias("i"), x.alias("w")))
-        votes = F.flatten(
-            F.transform(F.filter(placed, lambda x: F.array_contains(seeds, x["w"])), lambda x: _votes(index, x))
-        )
-        placed_hits = F.transform(F.array_distinct(votes), lambda v: _verified(index, w, v, pad))
+        seeded = F.filter(placed, lambda x: F.array_contains(seeds, x["w"]))
+        # Bound once, as the words are.
+        starts = F.flatten(F.transform(F.array(seeded), lambda s: _starts(index, s)))
+        placed_hits = F.transform(starts, lambda v: _verified(index, w, v, pad))
         return F.filter(placed_hits, lambda h: h["score"] > 0)
 
     kind = "array<struct<template: int, start: int, score: double>>"
@@ -173,12 +180,17 @@ def scan(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     )
 
 
-def _votes(index: Index, x: Column) -> Column:
-    out: Column | None = None
-    for word, places in index.postings.items():
-        starts = F.array(*[F.struct(F.lit(t).alias("t"), (x["i"] - q).alias("start")) for t, q in places])
-        out = F.when(x["w"] == word, starts) if out is None else out.when(x["w"] == word, starts)
-    return out
+def _starts(index: Index, seeded: Column) -> Column:
+    """Starts that all postings of a template agree on, as array<struct<t, start>>."""
+
+    def of_template(number: int, postings: tuple[tuple[str, int], ...]) -> Column:
+        agreed: Column | None = None
+        for word, q in postings:
+            starts = F.transform(F.filter(seeded, lambda x: x["w"] == word), lambda x: x["i"] - q)
+            agreed = F.array_distinct(starts) if agreed is None else F.array_intersect(agreed, starts)
+        return F.transform(agreed, lambda s: F.struct(F.lit(number).alias("t"), s.alias("start")))
+
+    return F.flatten(F.array(*[of_template(number, p) for number, p in enumerate(index.postings)]))
 
 
 def _verified(index: Index, words: Column, v: Column, pad: int) -> Column:
