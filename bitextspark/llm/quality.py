@@ -4,8 +4,10 @@ The base rules count words, symbols, repeated lines and repeated three-word wind
 fertility rules measure how well a public vocabulary fits a text: characters per token,
 the share of byte-fallback tokens and the entropy of the token distribution. Text in a
 language that the vocabulary knows lies in a narrow band; symbol junk, shouted text and
-mangled encodings leave it. Bands are kept per language, with one per script for
-languages that have none.
+mangled encodings leave it. Fixed bands by language or script are the outer limits. Inside
+them, `relative_bands` takes the median and the median deviation of each measure over all
+documents of one language, script and length class; what lies too many deviations from the
+median is rejected.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitextspark.llm import pieces
+from bitextspark.llm.components import _store
 from bitextspark.llm.words import blocks, code_points, row_sums, span_hash, texts, window_hash, words
+from bitextspark.scale import broadcast_if_small
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -50,11 +54,21 @@ BANDS = {
 @dataclass(frozen=True)
 class QualityRules:
     """`bands` by language; `scripts` for other languages; texts of fewer than `min_tokens`
-    tokens are too short for the fertility rules and pass them."""
+    tokens are too short for the fertility rules and pass them.
+
+    `deviations`: accepted distance from the median of the text's group, in median absolute
+    deviations scaled to a standard deviation. `least`: the smallest deviation that is taken for
+    each measure (characters per token: as a share of the median), so that many copies of one text
+    do not make a group's band a point. `prior`: documents that the deviation `wide` weighs as
+    much as, so that a group of a few documents has a wide band."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     min_tokens: int = 40
+    deviations: float = 6.0
+    least: tuple[float, float, float] = (0.015, 0.01, 0.02)
+    wide: tuple[float, float, float] = (0.10, 0.05, 0.10)
+    prior: int = 5
     bands: dict[str, Band] = field(default_factory=lambda: dict(BANDS))
     scripts: dict[str, Band] = field(
         default_factory=lambda: {
@@ -214,12 +228,90 @@ def fertile(rules: QualityRules, lang: str | None = "lang") -> Column:
     return (F.col("n_tokens") < rules.min_tokens) | banded
 
 
+#: Median absolute deviation to standard deviation of a normal distribution.
+_SIGMA = 1.4826
+_MEASURED = ("chars_per_token", "byte_share", "token_entropy")
+_GROUP = ("__lang", "__latin", "__class")
+
+
+def _grouped(measured: DataFrame, lang: str | None) -> DataFrame:
+    """With the columns of `_GROUP`: language, script, and the power of two below the letters in words
+    (not the tokens: junk of more tokens stays among texts of its length)."""
+    return measured.withColumns(
+        {
+            "__lang": F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang else F.lit(""),
+            "__latin": F.col("latin_share") >= 0.5,
+            "__class": F.floor(F.log2(F.greatest("word_chars", F.lit(1)))),
+        }
+    )
+
+
+def _grid(value: Column) -> Column:
+    """Values in steps of 0.0001 up to 100: an exact median keeps a count per step, so its state is
+    bounded however many documents there are, and no order of merging changes it."""
+    return F.round(F.least(value, F.lit(100.0)), 4)
+
+
+def relative_bands(measured: DataFrame, rules: QualityRules, lang: str | None = "lang") -> DataFrame:
+    """Per language, script and length class: `n` texts of `min_tokens` tokens or more, and for each
+    measure its median `<measure>__m` and half width `<measure>__h`.
+
+    Texts of the same words, letters, tokens and measures count once, so exact copies do not shift a band.
+    """
+    counted = _grouped(measured, lang).where(F.col("n_tokens") >= rules.min_tokens)
+    told_by = ("n_words", "word_chars", "n_tokens", *_MEASURED)
+    texts_once = counted.select(*_GROUP, *told_by).distinct().select(*_GROUP, *[_grid(F.col(c)).alias(c) for c in _MEASURED])
+    texts_once = _store(texts_once, "fertility")
+    medians = texts_once.groupBy(*_GROUP).agg(
+        F.count(F.lit(1)).alias("n"), *[F.median(c).alias(f"{c}__m") for c in _MEASURED]
+    )
+    medians = _store(medians, "fertility-medians")
+    spread = texts_once.join(broadcast_if_small(medians.drop("n")), list(_GROUP)).groupBy(*_GROUP).agg(
+        *[F.median(_grid(F.abs(F.col(c) - F.col(f"{c}__m")))).alias(f"{c}__d") for c in _MEASURED]
+    )
+    out = medians.join(spread, list(_GROUP))
+    for c, least, wide in zip(_MEASURED, rules.least, rules.wide):
+        unit = F.col(f"{c}__m") if c == "chars_per_token" else F.lit(1.0)
+        seen = F.col(f"{c}__d") * _SIGMA
+        mixed = F.sqrt((F.col("n") * seen * seen + rules.prior * (wide * unit) * (wide * unit)) / (F.col("n") + rules.prior))
+        out = out.withColumn(f"{c}__h", rules.deviations * F.greatest(mixed, least * unit))
+    return out.select(*_GROUP, "n", *[f"{c}__{x}" for c in _MEASURED for x in "mh"])
+
+
+def usual(rules: QualityRules) -> Column:
+    """Whether the measures lie in the band of the row's group. Few byte tokens are never a fault."""
+    distance = {c: F.col(c) - F.col(f"{c}__m") for c in _MEASURED}
+    inside = (
+        (F.abs(distance["chars_per_token"]) <= F.col("chars_per_token__h"))
+        & (distance["byte_share"] <= F.col("byte_share__h"))
+        & (F.abs(distance["token_entropy"]) <= F.col("token_entropy__h"))
+    )
+    return (F.col("n_tokens") < rules.min_tokens) | inside
+
+
 def judge(
-    df: DataFrame, model_path: str, rules: QualityRules, text: str = "text", lang: str | None = "lang"
+    df: DataFrame,
+    model_path: str,
+    rules: QualityRules,
+    text: str = "text",
+    lang: str | None = "lang",
+    keep_text: bool = True,
 ) -> DataFrame:
-    """Measures, `base_failed` and `kept` (base and fertility rules passed)."""
-    clash = {"base_failed", "kept"} & set(df.columns)
+    """Measures, `base_failed` and `kept` (base rules, fixed and relative bands passed).
+
+    The measures are written once to scratch (without the text if `keep_text` is off) and read three
+    times: for medians, for deviations and for the verdicts. Null and empty texts fail the base
+    rules, repeated rows get the same verdict, null and empty languages count as one, an empty
+    table gives no rows, and columns that clash with the appended ones raise at plan time.
+    """
+    clash = {"base_failed", "kept", *_GROUP} & set(df.columns)
     if clash:
         raise ValueError(f"the table has columns {sorted(clash)} already; drop or rename them")
-    measured = measure(df, model_path, text).withColumn("base_failed", base_failed(rules))
-    return measured.withColumn("kept", ~F.col("base_failed") & fertile(rules, lang))
+    measured = measure(df, model_path, text)
+    measured = _store(measured if keep_text else measured.drop(text), "measures")
+    bands = relative_bands(measured, rules, lang).drop("n")
+    judged = _grouped(measured, lang).join(broadcast_if_small(bands), list(_GROUP), "left")
+    judged = judged.withColumn("base_failed", base_failed(rules)).withColumn(
+        "kept", ~F.col("base_failed") & fertile(rules, lang) & usual(rules)
+    )
+    return judged.select(*measured.columns, "base_failed", "kept")

@@ -179,7 +179,7 @@ ORACLES["op7_url_filter"] = _url_sql()
 @register
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "lang", "text")
-    return quality.judge(docs, PIECES, quality.QualityRules()).drop("text", "lang", "latin_share")
+    return quality.judge(docs, PIECES, quality.QualityRules(), keep_text=False).drop("lang", "latin_share")
 
 
 @register
