@@ -144,6 +144,57 @@ def test_quality_counts(spark, odd, nothing):
     assert quality.judge(nothing, PIECES, quality.QualityRules()).count() == 0
 
 
+def _measured(spark, rows):
+    """Rows of (id, lang, tokens, characters per token, byte share, entropy) with the other measures."""
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double")
+    return df.withColumns(
+        {"n_words": F.col("doc_id"), "word_chars": F.col("n_tokens") * 3, "n_symbols": F.lit(0), "n_dup_lines": F.lit(0), "n_repeat_words": F.lit(0), "latin_share": F.lit(1.0)}
+    )
+
+
+def test_each_fertility_measure_alone_rejects(spark):
+    rng = np.random.default_rng(12)
+    rules = quality.QualityRules()
+    rows = [
+        (i, ["en", "fr", None][i % 3], int(rng.integers(70, 500)), float(2.6 + rng.normal() / 20), float(0.01 + rng.random() / 100), float(0.7 + rng.normal() / 30))
+        for i in range(3000)
+    ]
+    junk = [
+        (5000, "en", 100, 1.9, 0.01, 0.7), (5001, "en", 100, 4.5, 0.01, 0.7), (5002, "en", 100, 2.6, 0.3, 0.7),
+        (5003, "en", 100, 2.6, 0.01, 0.3), (5004, "en", 100, 2.6, 0.01, 0.97), (5005, None, 300, 1.9, 0.01, 0.7),
+    ]
+    spared = [(6000, "en", 39, 1.9, 0.9, 0.1), (6001, "de", 100, 1.9, 0.2, 0.9), (6002, "en", 100, 2.55, 0.0, 0.69)]
+    df = _measured(spark, rows + junk + spared)
+    bands = quality.relative_bands(df, rules)
+    judged = quality._grouped(df, "lang").join(bands, list(quality._GROUP), "left")
+    kept = {r.doc_id: r.k for r in judged.select("doc_id", quality.usual(rules).alias("k")).collect()}
+    assert [x[0] for x in junk if kept[x[0]]] == [] and all(kept[x[0]] for x in spared)
+    assert sum(not kept[x[0]] for x in rows) == 0
+    # Against numpy, copies counted once.
+    again = quality.relative_bands(df.unionByName(df.where("doc_id % 5 = 0")).unionByName(df), rules)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, bands.collect()), key=str)
+    every = [x for x in rows + junk + spared if x[1] == "en" and 128 <= 3 * x[2] < 256]
+    band = bands.where("__lang = 'en' AND __class = 7").first()
+    for k, (name, least, wide) in enumerate(zip(quality._MEASURED, rules.least, rules.wide)):
+        values = np.round([x[3 + k] for x in every], 4)
+        middle = np.median(values)
+        unit = middle if k == 0 else 1.0
+        spread = 1.4826 * np.median(np.round(np.abs(values - middle), 4))
+        mixed = np.sqrt((len(values) * spread**2 + rules.prior * (wide * unit) ** 2) / (len(values) + rules.prior))
+        assert band[f"{name}__m"] == pytest.approx(middle, abs=1e-9)
+        assert band[f"{name}__h"] == pytest.approx(rules.deviations * max(mixed, least * unit), abs=1e-3)
+
+
+def test_shouted_text_leaves_the_band_of_its_language(spark):
+    chosen = random.Random(3)
+    texts = [(i, "xx", " ".join(chosen.choices(PROSE.split(), k=120))) for i in range(40)]
+    shouted = [(100, "xx", texts[0][2].upper()), (101, "xx", None), (102, None, texts[1][2]), (103, "xx", "")]
+    df = spark.createDataFrame(texts + shouted, "doc_id bigint, lang string, text string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(df, PIECES, quality.QualityRules()).collect()}
+    assert all(got[i] == (False, True) for i in range(40))
+    assert (got[100], got[101], got[102], got[103]) == ((False, False), (True, False), (False, True), (True, False))
+
+
 def test_bands_leave_room_for_short_texts_with_long_tokens(spark):
     # Characters per token of doc_id 830 and 4725 of sf0.1 (quality 1), and of a text far below its language.
     rows = [(1, "en", 2.204), (2, "en", 2.188), (3, "de", 2.2), (4, "es", 1.9), (5, "fr", 1.9), (6, "en", 1.3), (7, "fr", 1.3)]
@@ -296,6 +347,38 @@ def test_alignment_equals_plain_smith_waterman():
         assert decontaminate.align(a, b[None, :], cfg)[0][0] == pytest.approx(h.max())
 
 
+def test_alignment_start_is_traced():
+    rng, cfg = np.random.default_rng(5), decontaminate.Decontamination()
+    for _ in range(200):
+        a, b = rng.integers(1, 5, 9).astype(np.uint64), rng.integers(1, 5, 14).astype(np.uint64)
+        best, end, last = (int(x[0]) if k else float(x[0]) for k, x in enumerate(decontaminate.align(a, b[None, :], cfg)))
+        if not best:
+            continue
+        score, begins = np.zeros((10, 15)), [[{j} for j in range(15)] for _ in range(10)]
+        for i in range(1, 10):
+            for j in range(1, 15):
+                step = 1 if a[i - 1] == b[j - 1] else -cfg.mismatch
+                ways = [(score[i - 1, j - 1] + step, begins[i - 1][j - 1]), (score[i - 1, j] - cfg.gap, begins[i - 1][j])]
+                ways += [(score[i, j - 1] - cfg.gap, begins[i][j - 1]), (0, {j})]
+                score[i, j] = max(w for w, _ in ways)
+                begins[i][j] = set().union(*(x for w, x in ways if w == score[i, j]))
+        assert score[last, end] == best == score.max()
+        assert decontaminate.alignment_start(a, b, end, last, cfg) in begins[last][end]
+
+
+def test_decontamination_keeps_items_of_one_id_and_null_ids_apart(spark):
+    one, two, three = prose(30, 501), prose(30, 502), prose(30, 503)
+    edited = ("new words here " + one).split()
+    del edited[13], edited[20]
+    rows = [(1, prose(20, 1) + " " + one), (2, two), (None, three), (4, " ".join(edited)), (4, prose(9, 4)), (6, one + " " + one)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("score", F.lit("clash"))
+    items = spark.createDataFrame([(9, one), (9, two), (None, three), (9, one)], "item_id bigint, text string").withColumn("start", F.lit(0))
+    got = {(r.doc_id, r.item_id): (r.score, r.start, r.end) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {
+        (1, 9): (1.0, 20, 50), (2, 9): (1.0, 0, 30), (None, None): (1.0, 0, 30), (4, 9): (0.9, 3, 31), (6, 9): (1.0, 0, 30),
+    }
+
+
 def test_repeated_passages(spark, odd, nothing):
     passage = prose(55, 1000)
     rows = [(i, f"{prose(30 + i, i)} {passage} {prose(20, 90 + i)}") for i in range(1, 7)] + [(50, prose(200, 50)), (51, None), (52, "")]
@@ -363,6 +446,32 @@ def test_licences(spark, odd, nothing):
     assert licences.scan(odd, index).count() == 8 and licences.scan(nothing, index).count() == 0
 
 
+def test_licence_places_equal_brute_force(spark):
+    templates = licences.BASE + licences.NOTICES
+    rng = random.Random(33)
+    vocabulary = sorted({w for t in templates for w in t.words})
+    rows = []
+    for i in range(120):
+        out = []
+        while len(out) < 60:
+            t = rng.choice(templates)
+            a, b = sorted((rng.randint(0, len(t.words)), rng.randint(0, len(t.words))))
+            out += t.words if rng.random() < 0.4 else t.words[a:b] if rng.random() < 0.7 else [rng.choice(vocabulary)]
+        rows.append((i, " ".join(out[rng.randint(0, 8) :])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = licences.build_index(licences.document_frequencies(docs, templates), len(rows), templates)
+    assert all(1 < len({w for w, _ in p}) for p in index.postings)
+    got = {r.doc_id: sorted((h.template, h.start, round(h.score, 9)) for h in r.hits) for r in licences.scan(docs, index).collect()}
+    for i, text in rows:
+        w, want = text.split(), []
+        for number, t in enumerate(templates):
+            for s in range(-len(t.words), len(w)):
+                if all(s + at >= 0 and w[s + at : s + at + len(k)] == k for at, k in t.key_spans()):
+                    equal = sum(s + j >= 0 and w[s + j : s + j + 1] == [x] for j, x in enumerate(t.words))
+                    want.append((number, s, round(equal / len(t.words), 9)))
+        assert got[i] == sorted(want)
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "a\\b\\\\", "<\\s>", "", None, "line\nline", "<s>", "é😀"]
     rows = [(1, t, ["system", "user", "assistant", "us\ner", None, "<s>"][t % 6], nasty[t % 8]) for t in range(24)]
