@@ -13,8 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 1 << 19
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
 #: The C library's call for it, where there is one.
@@ -61,8 +64,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end after `BATCH_BYTES` too, unless the session has a bound of its own: 10,000
+    rows of long texts are tens of MB in the executor and again in each of its workers."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def give_back() -> None:
-    """Return freed memory to the system, so that idle and reused workers stay small."""
+    """Return freed memory to the system, so that idle and reused workers stay small. Powers that
+    one very long text needed go as well."""
+    global _POWERS
+    if len(_POWERS[0]) > 2 * BLOCK_BYTES:
+        _POWERS = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
