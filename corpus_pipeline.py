@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bitextspark.llm import decontaminate, neardup, pieces, pii, quality
 from bitextspark.llm.queries import PIECES
+from bitextspark.llm.words import bound_batches
 from bitextspark.scale import broadcast_if_small, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,18 +28,21 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counting and the fertility rules."""
+    bound_batches(spark)
     judged = quality.judge(docs, PIECES, quality.QualityRules())
     return judged.where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8 or more)."""
+    bound_batches(spark)
     linked = neardup.link(docs, neardup.NearDuplicates(percent=80))
     return _without(docs, linked.where("NOT kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verbatim or edited copy of a benchmark item."""
+    bound_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.matches(docs, benchmark)
     location = scratch_path(spark, "leaks")
@@ -48,6 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by the name of its kind; `n_chars` follows."""
+    bound_batches(spark)
     crf = pii.train(pii.labelled_table(spark))
     hidden = pii.find(docs, crf, masked="__masked")
     return hidden.withColumns(
@@ -57,6 +62,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
+    bound_batches(spark)
     return pieces.round_trip(docs, PIECES).select(
         "doc_id",
         "lang",
