@@ -26,7 +26,8 @@ from bitextspark.llm.tables import DistinctTable
 from bitextspark.llm.words import blocks, give_back, texts
 
 MARK = "▁"
-SLICE_BYTES = 1 << 20
+#: Bytes of text that a worker holds arrays of at a time.
+SLICE_BYTES = 1 << 18
 _RUNS = re.compile(" +[^ ]*")
 _TABLES: dict[str, "ChunkTable"] = {}
 
@@ -140,7 +141,7 @@ def _id_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     values = column.values.to_numpy(zero_copy_only=False)
     row, n = 0, len(column)
     while row < n:
-        end = min(n, max(row + 1, int(np.searchsorted(bounds, bounds[row] + SLICE_BYTES // 4, side="right")) - 1))
+        end = min(n, max(row + 1, int(np.searchsorted(bounds, bounds[row] + SLICE_BYTES, side="right")) - 1))
         yield row, end - row, values[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row]
         row = end
 

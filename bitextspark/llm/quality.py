@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from bitextspark.llm import pieces
 from bitextspark.llm.components import _store
-from bitextspark.llm.words import blocks, code_points, row_sums, span_hash, texts, window_hash, words
+from bitextspark.llm.words import blocks, code_points, give_back, row_sums, span_hash, texts, window_hash, words
 from bitextspark.scale import broadcast_if_small
 
 SYMBOLS = "#*$%&|<>"
@@ -162,39 +162,43 @@ def measure(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = pieces.table(model_path)
-        for batch in batches:
-            for block in blocks(batch.column(batch.schema.get_field_index(text)), pieces.SLICE_BYTES):
-                w = words(block, lower=False)
-                gap_free = np.zeros(len(block.data) + 1, np.int64)
-                gap_free[w.start] += 1
-                np.subtract.at(gap_free, w.end, 1)
-                inside = np.cumsum(gap_free[:-1]) > 0
-                heads = (block.data & 0xC0) != 0x80
-                chars = row_sums(heads & inside, block.bounds)
-                flat, bounds = chunks.encode(texts(block))
-                sizes = np.diff(bounds)
-                byte_share, entropy = _fertility(flat, bounds, chunks.is_byte)
-                all_chars = row_sums(heads, block.bounds)
-                # Latin text is ASCII or has lead bytes C3 to CB (U+00C0 to U+02FF).
-                foreign = row_sums(block.data >= 0xCC, block.bounds)
-                columns = [
-                    np.diff(w.first),
-                    chars,
-                    row_sums(_SYMBOL[block.data], block.bounds),
-                    _duplicate_lines(block, inside),
-                    _repeat_words(w, block.rows),
-                    sizes,
-                    np.round(all_chars / np.maximum(sizes, 1), 9),
-                    np.round(byte_share, 9),
-                    entropy,
-                    np.round(1 - foreign / np.maximum(all_chars, 1), 9),
-                ]
-                kinds = [pa.int64()] * 6 + [pa.float64()] * 4
-                rows = batch.slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                    names=[*batch.schema.names, *MEASURES.names],
-                )
+        try:
+            for batch in batches:
+                for block in blocks(batch.column(batch.schema.get_field_index(text)), pieces.SLICE_BYTES):
+                    w = words(block, lower=False)
+                    gap_free = np.zeros(len(block.data) + 1, np.int64)
+                    gap_free[w.start] += 1
+                    np.subtract.at(gap_free, w.end, 1)
+                    inside = np.cumsum(gap_free[:-1]) > 0
+                    heads = (block.data & 0xC0) != 0x80
+                    chars = row_sums(heads & inside, block.bounds)
+                    flat, bounds = chunks.encode(texts(block))
+                    sizes = np.diff(bounds)
+                    byte_share, entropy = _fertility(flat, bounds, chunks.is_byte)
+                    all_chars = row_sums(heads, block.bounds)
+                    # Latin text is ASCII or has lead bytes C3 to CB (U+00C0 to U+02FF).
+                    foreign = row_sums(block.data >= 0xCC, block.bounds)
+                    columns = [
+                        np.diff(w.first),
+                        chars,
+                        row_sums(_SYMBOL[block.data], block.bounds),
+                        _duplicate_lines(block, inside),
+                        _repeat_words(w, block.rows),
+                        sizes,
+                        np.round(all_chars / np.maximum(sizes, 1), 9),
+                        np.round(byte_share, 9),
+                        entropy,
+                        np.round(1 - foreign / np.maximum(all_chars, 1), 9),
+                    ]
+                    kinds = [pa.int64()] * 6 + [pa.float64()] * 4
+                    rows = batch.slice(block.first, block.rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [*rows.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                        names=[*batch.schema.names, *MEASURES.names],
+                    )
+        finally:
+            chunks.table.release()
+            give_back()
 
     clash = set(df.columns) & set(MEASURES.names)
     if clash:
