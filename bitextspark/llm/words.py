@@ -17,7 +17,11 @@ from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 1 << 19
 BATCH_BYTES = 4 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+ROW_GROUP_BYTES = 32 << 20
+_BOUNDS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
+    "parquet.block.size": ROW_GROUP_BYTES,
+}
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
 #: The C library's call for it, where there is one.
@@ -65,10 +69,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches end after `BATCH_BYTES` too, unless the session has a bound of its own: 10,000
-    rows of long texts are tens of MB in the executor and again in each of its workers."""
-    if spark.conf.get(_BATCH_SETTING, None) is None:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    """Let Arrow batches end after `BATCH_BYTES` and Parquet row groups after `ROW_GROUP_BYTES`, unless the
+    session has bounds of its own: 10,000 rows of long texts are tens of MB in the executor and again in
+    each of its workers, and a row group is held until it is full."""
+    for setting, size in _BOUNDS.items():
+        if spark.conf.get(setting, None) is None:
+            spark.conf.set(setting, str(size))
 
 
 def give_back() -> None:
