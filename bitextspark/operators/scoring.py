@@ -1,15 +1,17 @@
 """Corpus BLEU and chrF from clipped n-gram counts.
 
 Counting is local to a sentence, so nothing is shuffled but the per-task totals.
-The counts of a sentence come from one Arrow-batched helper: expressing them as
-exploded n-grams with a grouping gives the same numbers about three times slower
-(twelve rows per character through two hash aggregations).
+The counts of all sentences of a block come from sorted n-gram numbers, in one Arrow-batched
+helper without a loop over sentences: expressing them as exploded n-grams with a grouping
+gives the same numbers about three times slower than a counter per sentence (twelve rows per
+character through two hash aggregations).
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,20 +39,80 @@ def hypotheses_with_references(hyps: DataFrame, refs: DataFrame, key: str = "id"
     return joined.select(key, *[F.coalesce(c, F.lit("")).alias(c) if c == "hyp" else c for c in hyp_columns], *[c for c in refs.columns if c != key])
 
 
+#: Characters of hypotheses and references that are counted together; a longer pair is alone.
+BLOCK_CHARS = 1 << 20
+
+
+def _units(texts: list[str], words: bool) -> tuple[np.ndarray, int, np.ndarray]:
+    """Codes of all words or characters of the texts, flat, their number of distinct values, and
+    the length of each text."""
+    if words:
+        rows = [x.split(" ") if x else [] for x in texts]
+        codes, values = pd.factorize(np.array(list(chain.from_iterable(rows)), dtype=object))
+        return codes.astype(np.int64), len(values), np.fromiter(map(len, rows), np.int64, len(rows))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    values, codes = np.unique(points, return_inverse=True)
+    return codes.astype(np.int64), len(values), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[heads], np.diff(np.append(heads, len(keys)))
+
+
+def match_counts(hyp: list[str], ref: list[str], orders: list[int], words: bool) -> np.ndarray:
+    """Rows of [match, hyp, ref] per order, a match being clipped within its row.
+
+    An n-gram is a number: the codes of its units as digits, together with its row. Where the
+    digits would not fit 63 bits, the numbers so far are replaced by their ranks, so equal
+    numbers always mean equal n-grams.
+    """
+    n_rows = len(hyp)
+    unit, base, sizes = _units([*hyp, *ref], words)
+    segment = np.repeat(np.arange(2 * n_rows, dtype=np.int64), sizes)
+    border = int(sizes[:n_rows].sum())  # positions from here on are references
+    out = np.zeros((n_rows, 3 * len(orders)), dtype=np.int64)
+    at = np.arange(len(unit))
+    gram, width = np.zeros(len(unit), dtype=np.int64), 1
+    for n in range(1, max(orders) + 1):
+        inside = at + n <= len(unit)
+        inside[inside] = segment[at[inside] + n - 1] == segment[at[inside]]
+        at, gram = at[inside], gram[inside]
+        if width * base * max(n_rows, 1) >= 1 << 63:
+            values, gram = np.unique(gram, return_inverse=True)
+            width = len(values)
+        gram, width = gram * base + unit[at + n - 1], width * base
+        if n not in orders:
+            continue
+        cut = int(np.searchsorted(at, border))
+        h, h_count = _tally(segment[at[:cut]] * width + gram[:cut])
+        r, r_count = _tally((segment[at[cut:]] - n_rows) * width + gram[cut:])
+        place = np.minimum(np.searchsorted(r, h), max(len(r) - 1, 0))
+        both = r[place] == h if len(r) else np.zeros(len(h), dtype=bool)
+        clipped = np.minimum(h_count[both], r_count[place[both]])
+        k = 3 * orders.index(n)
+        np.add.at(out[:, k], h[both] // max(width, 1), clipped)
+        lengths = np.maximum(sizes - n + 1, 0)
+        out[:, k + 1], out[:, k + 2] = lengths[:n_rows], lengths[n_rows:]
+    return out
+
+
 def _match_counter(orders: list[int], words: bool):
-    """Arrow UDF: (hyp, ref) -> [match, hyp, ref] per order, for words or characters."""
+    """Arrow UDF: (hyp, ref) -> [match, hyp, ref] per order, for words or characters. Null texts
+    count as empty."""
 
     def counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-        rows = []
-        for pair in zip(hyp, ref):
-            h, r = (x.split(" ") if words and x else x for x in pair)
-            row = []
-            for n in orders:
-                hg = Counter(zip(*(h[i:] for i in range(n))))
-                rg = Counter(zip(*(r[i:] for i in range(n))))
-                row += [sum((hg & rg).values()), max(len(h) - n + 1, 0), max(len(r) - n + 1, 0)]
-            rows.append(row)
-        return pd.Series(rows)
+        hyp, ref = hyp.fillna(""), ref.fillna("")
+        block = (hyp.str.len() + ref.str.len()).cumsum().to_numpy() // BLOCK_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(hyp)]
+        rows = [
+            match_counts(hyp.iloc[a:b].tolist(), ref.iloc[a:b].tolist(), orders, words)
+            for a, b in zip(cuts[:-1], cuts[1:])
+            if b > a
+        ]
+        return pd.Series([row for part in rows for row in part], dtype=object)
 
     return F.pandas_udf(counts, "array<bigint>")
 

@@ -484,3 +484,43 @@ def test_loss_without_weight_raises(spark):
     log = spark.createDataFrame([(1, "base", 1.0, 10), (1, "other", 1.0, 10)], "update bigint, task string, loss double, size bigint")
     with pytest.raises(Exception, match="no weight for task other"):
         mixture_loss(log, [("base", 1.0)]).collect()
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_match_counts_equal_counters(words):
+    from bitextspark.operators.scoring import match_counts
+
+    rnd = random.Random(7)
+    line = lambda: " ".join(rnd.choice(["a", "b", "ab", "é😀", "", "-"]) for _ in range(rnd.randint(0, 9)))
+    for rows in (0, 1, 5, 200):
+        hyp, ref = ([line() for _ in range(rows)] for _ in range(2))
+        for orders in ([1, 2, 3, 4], [2, 4], [1, 2, 3, 4, 5, 6]):
+            expected = []
+            for pair in zip(hyp, ref):
+                h, r = (x.split(" ") if words and x else x for x in pair)
+                row = []
+                for n in orders:
+                    hg, rg = (Counter(zip(*(x[i:] for i in range(n)))) for x in (h, r))
+                    row += [(hg & rg).total(), hg.total(), rg.total()]
+                expected.append(row)
+            assert match_counts(hyp, ref, orders, words).tolist() == expected
+
+
+def test_match_counts_of_many_distinct_words():
+    """Numbers of four words exceed 63 bits here, so ranks take their place."""
+    from bitextspark.operators.scoring import match_counts
+
+    rnd = random.Random(3)
+    hyp = [" ".join(str(rnd.randrange(200_000)) for _ in range(30)) for _ in range(4000)]
+    assert match_counts(hyp, hyp, [1, 4], True).sum(axis=0).tolist() == [120_000] * 3 + [108_000] * 3
+    assert match_counts(hyp, hyp[::-1], [4], True)[:, 0].sum() == 0
+
+
+def test_score_counts_take_nulls_and_long_pairs(spark):
+    from bitextspark.operators import scoring
+
+    pairs = spark.createDataFrame([("a b", "a b"), (None, "a b c"), ("x", None), ("a " * 600_000, "a " * 600_000)], "hyp string, ref string")
+    counts = scoring.clipped_counts(pairs, F.col("hyp"), F.col("ref"), [1, 2], words=False)
+    got = {r.n: (r.match, r.hyp, r.ref) for r in counts.collect()}
+    assert got == {1: (1_200_003, 1_200_004, 1_200_008), 2: (1_200_001, 1_200_001, 1_200_005)}  # 2 + 4 + 0 + 1,199,999
+    assert scoring.clipped_counts(pairs.limit(0), F.col("hyp"), F.col("ref"), [1], words=True).collect()[0].match is None
