@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,25 +30,35 @@ def attach_auxiliaries(versions: DataFrame) -> DataFrame:
     ).where(F.col("src_ids").isNotNull())
 
 
-def example_for_task(records: DataFrame, task: str) -> DataFrame:
-    """Source, label and decoder input of one task.
-
-    `wrdp2` keeps the base label and only feeds the masked version to the decoder.
-    """
+def _example(task: str) -> Column:
+    """Source, label and decoder input of one task of a record; null where it has no such version."""
     if task == "base":
         src, label, fed = F.col("src_ids"), F.col("tgt_ids"), F.col("tgt_ids")
     else:
         version = F.col("aux")[task]
         src, fed = version["src_ids"], version["tgt_ids"]
         label = F.col("tgt_ids") if task == "wrdp2" else fed
-    return records.where(src.isNotNull()).select(
-        "pair_id",
+    made = F.struct(
         F.lit(task).alias("task"),
         src.alias("src_ids"),
         label.alias("tgt_ids"),
         fi.decoder_input(fed).alias("prev_ids"),
         fi.count_non_pad(label).alias("ntokens"),
     )
+    return F.when(src.isNotNull(), made)
+
+
+def examples_for_tasks(records: DataFrame, tasks: Sequence[str]) -> DataFrame:
+    """Source, label and decoder input of each task that a record has, in one pass over the records.
+
+    `wrdp2` keeps the base label and only feeds the masked version to the decoder.
+    """
+    made = F.filter(F.array(*[_example(t) for t in tasks]), lambda x: x.isNotNull())
+    return records.select("pair_id", F.inline(made))
+
+
+def example_for_task(records: DataFrame, task: str) -> DataFrame:
+    return examples_for_tasks(records, [task])
 
 
 def map_ids(

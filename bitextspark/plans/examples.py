@@ -11,7 +11,7 @@ from bitextspark.config import DEFAULT_SEED, PAD_ID, RESAMPLED_TASKS, SYNTHETIC_
 from bitextspark.functions import ids as fi
 from bitextspark.operators import batching, examples
 from bitextspark.operators.clean import split_by_size
-from bitextspark.operators.tasks import epoch_view, union_versions
+from bitextspark.operators.tasks import epoch_view
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class TrainingExamples:
     def examples(self, epoch: int) -> DataFrame:
         """`(pair_id, task, src_ids, tgt_ids, prev_ids, ntokens)` of an epoch."""
         kept, _ = self.records(epoch)
-        rows = union_versions(*[examples.example_for_task(kept, t) for t in ("base", *self.cfg.tasks)])
+        rows = examples.examples_for_tasks(kept, ("base", *self.cfg.tasks))
         if not self.cfg.marked:
             return rows
         mark = self.symbol_id(SYNTHETIC_MARK)
