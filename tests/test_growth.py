@@ -48,3 +48,14 @@ def test_intake_reads_a_table_that_is_a_folder(spark, tmp_path):
     want = entry.queries()["stm4_incremental_intake"](spark, SF)
     digest = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
     assert digest(got) == digest(want) and want.count() > 0
+
+
+def test_translation_counts_are_kept_as_a_table_and_totals_are_not_shuffled_against_them(spark):
+    from bitextspark.operators import align as al
+
+    df = spark.createDataFrame([(1, ["a", "b"], ["x"]), (2, ["a"], ["x", "y"])], "pair_id int, s array<string>, t array<string>")
+    table = al.train(df, "s", "t", rounds=1)
+    plan = plan_of(table)
+    assert "LogicalRDD" not in plan and "parquet" in plan and "broadcast" in plan
+    sums = table.groupBy("s", "null").agg(F.sum("p").alias("p")).collect()
+    assert all(abs(r.p - 1) < 1e-9 for r in sums)
