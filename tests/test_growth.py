@@ -59,3 +59,15 @@ def test_translation_counts_are_kept_as_a_table_and_totals_are_not_shuffled_agai
     assert "LogicalRDD" not in plan and "parquet" in plan and "broadcast" in plan
     sums = table.groupBy("s", "null").agg(F.sum("p").alias("p")).collect()
     assert all(abs(r.p - 1) < 1e-9 for r in sums)
+
+
+def test_recasing_joins_nothing_and_keeps_the_words_as_they_were(spark):
+    from bitextspark.operators import truecase as tc
+
+    model = spark.createDataFrame([("en", "the", "the", 3)], "lang string, lower string, best string, n int")
+    df = spark.createDataFrame([(1, "en", ["The", "a", ".", "The", "."]), (2, "en", []), (3, "fr", ["The"])], "pair_id int, lang string, w array<string>")
+    out = tc.apply_truecase(df, model, "w", given="before")
+    assert "Join" not in plan_of(out)
+    assert sorted((r.pair_id, r.w, r.before) for r in out.collect()) == [
+        (1, ["the", "a", ".", "the", "."], ["The", "a", ".", "The", "."]), (2, [], []), (3, ["The"], ["The"]),
+    ]
