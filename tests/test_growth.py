@@ -25,6 +25,30 @@ def test_encoding_moves_no_row_and_makes_no_row_of_a_token(spark):
     assert sorted(map(tuple, out.collect())) == [(1, [7, 8, 3, 2], [3, 2]), (1, [8, 2], [7, 2]), (2, [2], [2])]
 
 
+def test_only_tokens_beyond_the_common_part_of_a_large_vocabulary_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame(
+        [(1, ["a", "b", None, "zz"], ["f"]), (2, [], None), (None, ["e", "a"], ["a"]), (1, ["f", "f"], ["e", "x", "b"])],
+        "pair_id int, s array<string>, t array<string>",
+    )
+    v = spark.createDataFrame([(4 + k, w) for k, w in enumerate("abcdef")], "id int, symbol string")
+    args = (df, v, ("pair_id",), {"x": "s", "y": "t"}, ("s",))
+    want = sorted(map(str, vo.encode(*args).collect()))
+    monkeypatch.setattr(scale, "LOOKUP_BYTES", 80)
+    sent, joined = scale._common_part(v, "symbol", "id", vo._by_id())
+    assert {r.symbol for r in sent.collect()} == {"a", "b", "c"} and joined.count() == 3
+    for bound in (80, 1, 130):
+        monkeypatch.setattr(scale, "LOOKUP_BYTES", bound)
+        assert sorted(map(str, vo.encode(*args).collect())) == want
+    monkeypatch.setattr(scale, "LOOKUP_BYTES", 80)
+    plan = plan_of(vo.encode(*args))
+    assert "Generate explode(__missed" in plan and "explode_outer" not in plan
+    ids = vo.encode(df, v, ("pair_id",), {"x": "s"})
+    back = [vo.decode(ids, v, ("pair_id",), {"w": "x"}).collect()]
+    monkeypatch.setattr(scale, "LOOKUP_BYTES", 1 << 20)
+    back.append(vo.decode(ids, v, ("pair_id",), {"w": "x"}).collect())
+    assert sorted(map(str, back[0])) == sorted(map(str, back[1]))
+
+
 def test_keys_that_share_a_digest_are_told_apart(monkeypatch):
     monkeypatch.setattr(scale, "_digests", lambda words: np.array([len(w) for w in words], dtype="uint64"))
     entries = scale._Entries(pa.array(["ab", "cd", "e", "fg"], pa.large_string()), pa.array([1, 2, 3, 4]))
