@@ -155,10 +155,12 @@ def _(spark, sf):
     "vocab",
 )
 def _(spark, sf):
-    words = bl.link_words(linked(spark, sf)).select("pair_id", "k", F.array("src").alias("s"), F.array("tgt").alias("t"))
-    known = vo.encode(words, vocabulary(spark, sf), ("pair_id", "k"), {"si": "s", "ti": "t"}, carry=("s", "t"), add_eos=False)
-    named = known.select(
-        F.when(F.col("si")[0] == 3, "<unk>").otherwise(F.col("s")[0]).alias("src"),
-        F.when(F.col("ti")[0] == 3, "<unk>").otherwise(F.col("t")[0]).alias("tgt"),
+    # Sentences are encoded, not links: a word of several links is looked up once, and a row is a pair.
+    toks = ("src_tok", "tgt_tok")
+    ids = {"src_ids": "src_tok", "tgt_ids": "tgt_tok"}
+    known = vo.encode(linked(spark, sf), vocabulary(spark, sf), ("pair_id",), ids, carry=(*toks, "links"), add_eos=False)
+    named = known.withColumns(
+        {w: F.zip_with(w, i, lambda x, n: F.when(n == 3, "<unk>").otherwise(x)) for w, i in zip(toks, ids)}
     )
+    named = bl.link_words(named).select("src", "tgt")
     return vo.linked_type_counts(named, F.lit("<unk>"))

@@ -95,3 +95,12 @@ def test_recasing_joins_nothing_and_keeps_the_words_as_they_were(spark):
     assert sorted((r.pair_id, r.w, r.before) for r in out.collect()) == [
         (1, ["the", "a", ".", "the", "."], ["The", "a", ".", "The", "."]), (2, [], []), (3, ["The"], ["The"]),
     ]
+
+
+def test_links_are_known_by_the_words_of_their_sentence(spark, monkeypatch):
+    from bitextspark.registry import vocabulary as rv
+
+    seen, encode = [], vo.encode
+    monkeypatch.setattr(rv.vo, "encode", lambda df, v, keys, arrays, **more: seen.append(keys) or encode(df, v, keys, arrays, **more))
+    assert entry.queries()["flt9_unknown_links"](spark, SF).count() > 0
+    assert seen == [("pair_id",)]
