@@ -45,10 +45,20 @@ class TrainingExamples:
         row = self.vocabulary.where(F.col("symbol") == symbol).select("id").first()
         return row and row[0]
 
+    def _seen(self, epoch: int) -> DataFrame:
+        return epoch_view(self.versions, epoch, self.cfg.epochs, RESAMPLED_TASKS)
+
+    def _base_sizes(self, epoch: int) -> DataFrame:
+        """`(pair_id, base_size, tgt_size)` of the kept pairs, from their base rows alone."""
+        c = self.cfg
+        kept, _ = split_by_size(self._seen(epoch).where("task = 'base'"), "src_ids", "tgt_ids", c.max_source, c.max_target)
+        src = fi.drop_second(F.col("src_ids")) if c.marked else F.col("src_ids")
+        return kept.select("pair_id", F.size(src).alias("base_size"), F.size("tgt_ids").alias("tgt_size"))
+
     def records(self, epoch: int) -> tuple[DataFrame, DataFrame]:
         """(kept, too long): one record per pair with all its versions of the epoch."""
         c = self.cfg
-        seen = epoch_view(self.versions, epoch, c.epochs, RESAMPLED_TASKS).where(F.col("task").isin("base", *c.tasks))
+        seen = self._seen(epoch).where(F.col("task").isin("base", *c.tasks))
         return split_by_size(examples.attach_auxiliaries(seen), "src_ids", "tgt_ids", c.max_source, c.max_target)
 
     def examples(self, epoch: int) -> DataFrame:
@@ -69,10 +79,11 @@ class TrainingExamples:
         with the base rows' order."""
         c = self.cfg
         rows = self.examples(epoch)
-        base = rows.where("task = 'base'")
-        size = fi.row_tokens(F.col("src_ids"), F.col("tgt_ids"))
-        placed, over = batching.pack(base, size, c.max_tokens, seed=c.seed, multiple=c.multiple)
-        place = placed.select("pair_id", "batch_id", F.size("src_ids").alias("base_size"))
+        # A place needs sizes only, so ids are grouped once by pair and once by batch.
+        size = F.greatest("base_size", "tgt_size")
+        placed, _ = batching.pack(self._base_sizes(epoch), size, c.max_tokens, seed=c.seed, multiple=c.multiple)
+        place = placed.select("pair_id", "batch_id", "base_size")
+        over = rows.where((F.col("task") == "base") & (fi.row_tokens(F.col("src_ids"), F.col("tgt_ids")) > c.max_tokens))
         collated = batching.collate(
             rows.join(place, "pair_id"), "src_ids", "tgt_ids", multiple=c.multiple, pad=PAD_ID, by=("task",), order="base_size", fed="prev_ids"
         )

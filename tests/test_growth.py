@@ -104,3 +104,19 @@ def test_links_are_known_by_the_words_of_their_sentence(spark, monkeypatch):
     monkeypatch.setattr(rv.vo, "encode", lambda df, v, keys, arrays, **more: seen.append(keys) or encode(df, v, keys, arrays, **more))
     assert entry.queries()["flt9_unknown_links"](spark, SF).count() > 0
     assert seen == [("pair_id",)]
+
+
+def test_batches_group_the_ids_of_a_pair_once(spark):
+    from bitextspark.plans.examples import ExampleConfig, TrainingExamples
+
+    rows = [(k, task, 1, [9, 20, 5 + k, 2], [6] * (1 + k % 3) + [2]) for k in range(6) for task in ("base", "rev")]
+    rows.append((7, "base", 1, [9, 20, 5, 2], [6] * 30))
+    versions = spark.createDataFrame(rows, "pair_id int, task string, epoch int, src_ids array<int>, tgt_ids array<int>")
+    vocabulary = spark.createDataFrame([(20, "m")], "id int, symbol string")
+    made = TrainingExamples(versions, vocabulary, ExampleConfig(("rev",), max_tokens=12, marked=True))
+    batches, over = made.batches(1)
+    assert plan_of(batches).count("map_from_entries") == 1
+    assert [(r.pair_id, len(r.tgt_ids)) for r in over.collect()] == [(7, 30)]
+    got = sorted((r.task, i) for r in batches.collect() for i in r.ids)
+    assert got == sorted((t, k) for k in range(6) for t in ("base", "rev"))
+    assert all(max(map(len, r.source + r.target)) * r.nsentences <= 12 for r in batches.collect())
