@@ -65,6 +65,20 @@ class DistinctTable:
         if new:
             self._add(new)
         codes = np.fromiter(map(self.codes.__getitem__, every), dtype=np.int64, count=len(every))
+        return self._placed(codes, counts)
+
+    def join_kinds(self, kinds: list[str], at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`join` of texts whose strings are `kinds[at]`, `counts` of them up to each text: the table is asked
+        once for each distinct string."""
+        if self._full():
+            self._shrink()
+        new = [x for x in kinds if x not in self.codes]
+        if new:
+            self._add(new)
+        codes = np.fromiter(map(self.codes.__getitem__, kinds), dtype=np.int64, count=len(kinds))
+        return self._placed(codes[at], counts)
+
+    def _placed(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.sizes[codes]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

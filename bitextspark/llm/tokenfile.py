@@ -22,10 +22,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from bitextspark.llm.tables import DistinctTable
 from bitextspark.llm.words import Block, blocks, row_sums, texts
 
 BLOCK_IDS = 1 << 18
-MAX_ENTRIES = 300_000
+MAX_ENTRIES = 600_000
 SLICE_BYTES = 1 << 20
 
 BLOCKS = T.StructType(
@@ -124,7 +125,7 @@ class WordEncoder:
         self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.letters = _byte_letters()
         self.words: dict[str, list[int]] = {}
-        self.chunks = DistinctTable(lambda chunks: [self._chunk(c) for c in chunks], MAX_ENTRIES, 32_000_000)
+        self.chunks = DistinctTable(self._chunks, MAX_ENTRIES, 32_000_000)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = all(self._chunk(p.lower()) == self._whole([p])[0] for p in self.PROBES)
 
@@ -134,14 +135,17 @@ class WordEncoder:
     def _word(self, word: str) -> list[int]:
         return [t.id for t in self.model.tokenize(word.translate(self.letters))]
 
+    def _chunks(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of plain lower-case chunks; letters alone are one word."""
+        cut = [[c] if c.isalpha() else _WORD.findall(c) for c in chunks]
+        known = self.words
+        for w in chain.from_iterable(cut):
+            if w not in known:
+                known[w] = self._word(w)
+        return [known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]] for ws in cut]
+
     def _chunk(self, chunk: str) -> list[int]:
-        found: list[int] = []
-        for word in _WORD.findall(chunk):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = self._word(word)
-            found += ids
-        return found
+        return [i for ids in self._chunks(chunk.split()) for i in ids]
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block's texts, flat, and the bounds of each text."""
@@ -153,15 +157,14 @@ class WordEncoder:
         odd[1:] &= ~pair
         plain = row_sums(odd, block.bounds) == 0
         batch = texts(block)
-        parts: list[list[str]] = []
-        whole: list[int] = []
-        for i, text in enumerate(batch):
-            if self.plain and plain[i] and not any(s in text for s in self.special):
-                parts.append(text.lower().split())
-            else:
-                parts.append([])
-                whole.append(i)
-        flat, bounds = self.chunks.join(parts)
+        by_chunk = np.array([self.plain and p and not any(s in text for s in self.special) for p, text in zip(plain, batch)], dtype=bool)
+        # Plain texts have ASCII white space only. Strings that Arrow cuts off beside it may be empty; they have no ids.
+        column = pc.if_else(pa.array(by_chunk), pa.array(batch, pa.large_string()), "")
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(column))
+        coded = lists.flatten().dictionary_encode()
+        counts = np.cumsum([0, *pc.list_value_length(lists).to_numpy()])
+        flat, bounds = self.chunks.join_kinds(coded.dictionary.to_pylist(), coded.indices.to_numpy(), counts)
+        whole = np.flatnonzero(~by_chunk).tolist()
         if not whole:
             return flat, bounds
         rows = np.split(flat, bounds[1:-1])

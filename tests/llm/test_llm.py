@@ -534,3 +534,22 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     want[16] = want[16].replace("a.b@x.example.com", "[EMAIL]")
     assert set(got) == set(want)
     assert all(got[i].ids == model.encode(t) and got[i].round_trip for i, t in want.items())
+
+
+def test_chunks_of_a_block_are_asked_once_each():
+    """White space of every kind, empty and odd texts between plain ones: the ids of the whole library."""
+    coder = tokenfile.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rows = ["  Two  two\t\nTWO\x0b\x0cÉté été don't, 3x  ", "", None, "ein Wort   x", " ", "two été", "日本 two", "\x1ctwo\x85 ÷×"]
+    asked: list[str] = []
+
+    class Codes(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    coder.chunks.codes = Codes()
+    (block,) = list(words.blocks(pa.array(rows)))
+    flat, bounds = coder.encode(block)
+    got = [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == [coder._whole([r or ""])[0] for r in rows]
+    assert len(asked) == len(set(asked)) and "two" in asked
