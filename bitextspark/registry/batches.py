@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bitextspark.functions import ids as fi
@@ -210,10 +211,14 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # Constraint lists (long words) padded with zeros to the longest of their batch.
-    rows = packed(spark, sf).withColumn("c", F.filter("src_ids", lambda x: x > 8))
-    longest = rows.groupBy("batch_id").agg(F.max(F.size("c")).alias("n"))
-    padded = fi.pad_right(F.col("c"), F.col("n"), 0)
-    return rows.join(longest, "batch_id").select("pair_id", ids_text(padded).alias("constraints"))
+    # A batch is bounded by the budget, so its rows meet in one window; they are ranked once and carry no other ids.
+    lists = encoded(spark, sf).select(
+        "pair_id", F.filter("src_ids", lambda x: x > 8).alias("c"), fi.row_tokens(F.col("src_ids"), F.col("tgt_ids")).alias("n")
+    )
+    rows = ba.pack(lists, F.col("n"), MAX_TOKENS)[0].select("pair_id", "batch_id", "c")
+    longest = F.max(F.size("c")).over(W.partitionBy("batch_id"))
+    padded = rows.withColumn("n", longest).withColumn("p", fi.pad_right(F.col("c"), F.col("n"), 0))
+    return padded.select("pair_id", ids_text(F.col("p")).alias("constraints"))
 
 
 @query(

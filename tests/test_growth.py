@@ -120,3 +120,10 @@ def test_batches_group_the_ids_of_a_pair_once(spark):
     got = sorted((r.task, i) for r in batches.collect() for i in r.ids)
     assert got == sorted((t, k) for k in range(6) for t in ("base", "rev"))
     assert all(max(map(len, r.source + r.target)) * r.nsentences <= 12 for r in batches.collect())
+
+
+def test_constraints_are_ranked_once_and_padded_without_a_join(spark):
+    out = entry.queries()["arr3_constraint_padding"](spark, SF)
+    plan = plan_of(out)
+    # One ranking is a window over rows and one over slices; a batch is a third. The only join is the ranking's.
+    assert (plan.count("row_number()"), plan.count("Join "), plan.count("\nWindow ") + plan.count("- Window ")) == (1, 1, 3)
