@@ -6,6 +6,8 @@ row is bounded by configuration. Rankings never pass through one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,9 +85,10 @@ def pack(
     return out, df.where(length > max_tokens)
 
 
-def batch_totals(df: DataFrame, src: str, tgt: str) -> DataFrame:
-    """Sentences and tokens per batch (target tokens; source tokens where no target)."""
-    tokens = F.when(F.col(tgt).isNotNull(), F.size(tgt)).otherwise(F.size(src))
+def batch_totals(df: DataFrame, src: str, tgt: str, size: Callable[[str], Column] = F.size) -> DataFrame:
+    """Sentences and tokens per batch (target tokens; source tokens where no target). With `size=F.col`
+    the columns hold sizes themselves."""
+    tokens = F.when(F.col(tgt).isNotNull(), size(tgt)).otherwise(size(src))
     return df.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("nsentences"), F.sum(tokens.cast("bigint")).alias("ntokens")
     )

@@ -11,7 +11,7 @@ from bitextspark.operators import examples as ex
 from bitextspark.operators.bilingual import render_links
 from bitextspark.registry.base import query, view
 from bitextspark.registry.bilingual import linked
-from bitextspark.registry.rows import _versions_as_ids, encoded, ids_text
+from bitextspark.registry.rows import _versions_as_ids, encoded, encoded_sizes, ids_text
 from bitextspark.config import TaskSpec
 
 H = "md5(concat_ws('|','17','order',pair_id))"
@@ -82,9 +82,14 @@ def packed(spark, sf):
     return ba.pack(rows, fi.row_tokens(F.col("src_ids"), F.col("tgt_ids")), MAX_TOKENS)[0]
 
 
+def packed_sizes(spark, sf):
+    """Batches of `packed` with sizes in place of ids: `(pair_id, src_size, tgt_size, batch_id, slot)`."""
+    return ba.pack(encoded_sizes(spark, sf), F.greatest("src_size", "tgt_size"), MAX_TOKENS)[0]
+
+
 @query("bat3_token_budget_batches", "SELECT pair_id, batch_id, slot FROM packed", "packed")
 def _(spark, sf):
-    return packed(spark, sf).select("pair_id", "batch_id", "slot")
+    return packed_sizes(spark, sf).select("pair_id", "batch_id", "slot")
 
 
 @query(
@@ -105,7 +110,7 @@ def _(spark, sf):
     "packed",
 )
 def _(spark, sf):
-    return ba.batch_totals(packed(spark, sf), "src_ids", "tgt_ids")
+    return ba.batch_totals(packed_sizes(spark, sf), "src_size", "tgt_size", size=F.col)
 
 
 @query(
@@ -165,7 +170,7 @@ def _(spark, sf):
 
 @query("win6_strided_split", "SELECT pair_id, batch_id, slot % 3 AS part FROM packed", "packed")
 def _(spark, sf):
-    return ba.split_batch(packed(spark, sf), 3).select("pair_id", "batch_id", "part")
+    return ba.split_batch(packed_sizes(spark, sf), 3).select("pair_id", "batch_id", "part")
 
 
 @query(

@@ -127,3 +127,13 @@ def test_constraints_are_ranked_once_and_padded_without_a_join(spark):
     plan = plan_of(out)
     # One ranking is a window over rows and one over slices; a batch is a third. The only join is the ranking's.
     assert (plan.count("row_number()"), plan.count("Join "), plan.count("\nWindow ") + plan.count("- Window ")) == (1, 1, 3)
+
+
+def test_batch_totals_need_sizes_only(spark):
+    from bitextspark.registry import rows as rr
+
+    for name in ("agg18_batch_totals", "bat3_token_budget_batches", "win6_strided_split"):
+        out = entry.queries()[name](spark, SF)
+        assert not any("encoded-pairs" in f for f in out.inputFiles()), name
+    sizes = rr.encoded(spark, SF).select("pair_id", F.size("src_ids").alias("src_size"), F.size("tgt_ids").alias("tgt_size"))
+    assert sizes.count() > 0 and sizes.exceptAll(rr.encoded_sizes(spark, SF)).isEmpty() and rr.encoded_sizes(spark, SF).exceptAll(sizes).isEmpty()
