@@ -137,3 +137,27 @@ def test_batch_totals_need_sizes_only(spark):
         assert not any("encoded-pairs" in f for f in out.inputFiles()), name
     sizes = rr.encoded(spark, SF).select("pair_id", F.size("src_ids").alias("src_size"), F.size("tgt_ids").alias("tgt_size"))
     assert sizes.count() > 0 and sizes.exceptAll(rr.encoded_sizes(spark, SF)).isEmpty() and rr.encoded_sizes(spark, SF).exceptAll(sizes).isEmpty()
+
+
+def test_a_word_is_merged_once_for_units_and_dictionary(spark, monkeypatch):
+    from bitextspark.operators import subword as sw
+    from bitextspark.registry import iterative as it
+
+    merged, merged_types = [], sw.merged_types
+    monkeypatch.setattr(it, "merges", lambda spark, sf: [("e", "r</w>", 9), ("t", "h", 8), ("th", "er</w>", 7)])
+    monkeypatch.setattr(sw, "merged_types", lambda words, *a, **more: merged.append(words.select("symbol")) or merged_types(words, *a, **more))
+    monkeypatch.setattr(sw, "token_counts", lambda *a: 1 / 0)
+    assert entry.queries()["jn9_subword_lookup"](spark, SF).count() > 0
+    assert len(merged) == 1 and merged[0].count() == merged[0].distinct().count() > 0
+
+
+def test_unknown_units_of_merged_words_are_split_by_side(spark):
+    from bitextspark.operators import subword as sw
+
+    merges = [("a", "b", 9), ("ab", "c</w>", 5), ("@", "@", 4)]
+    words = spark.createDataFrame([("en", w, 1) for w in ("abc", "aba@@", "@@", "a</w>b")] + [("fr", "abc", 1)], "lang string, symbol string, count long")
+    merged = sw.merged_types(words, merges)
+    got = {(r.lang, r.symbol): r.units for r in sw.known_units(merged, merges, {"en": {"abc", "ab@@"}, "fr": {"c", "ab@@"}}).collect()}
+    assert got == {("en", "abc"): "abc", ("fr", "abc"): "ab@@ c", ("en", "aba@@"): "ab@@ a@@ @@@ @", ("en", "@@"): "@@@ @", ("en", "a</w>b"): "a@@ <@@ /@@ w@@ >@@ b"}
+    units = {r.symbol: r["count"] for r in sw.merged_unit_counts(merged).where("lang = 'fr'").collect()}
+    assert units == {"abc": 1}
