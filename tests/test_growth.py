@@ -161,3 +161,19 @@ def test_unknown_units_of_merged_words_are_split_by_side(spark):
     assert got == {("en", "abc"): "abc", ("fr", "abc"): "ab@@ c", ("en", "aba@@"): "ab@@ a@@ @@@ @", ("en", "@@"): "@@@ @", ("en", "a</w>b"): "a@@ <@@ /@@ w@@ >@@ b"}
     units = {r.symbol: r["count"] for r in sw.merged_unit_counts(merged).where("lang = 'fr'").collect()}
     assert units == {"abc": 1}
+
+
+def test_statistics_keep_one_row_a_word_whatever_the_number_of_tasks(spark):
+    import re
+
+    import pytest
+    from bitextspark.plans.corpus import task_statistics
+
+    plan = plan_of(entry.queries()["m0_task_statistics"](spark, SF))
+    assert re.findall(r"Aggregate \[([^\]]*)\]", plan)[-1].startswith("w#") and "task" not in re.findall(r"Aggregate \[([^\]]*)\]", plan)[-1]
+    rows = [("base", ["a", "b", "a"], ["c"]), ("rev", ["a"], []), ("base", [], ["c", "a"]), ("rev", ["d", "a"], None)]
+    versions = spark.createDataFrame(rows, "task string, src_tok array<string>, tgt_tok array<string>")
+    got = sorted(map(tuple, task_statistics(versions, ["base", "rev", "none"]).collect()))
+    assert got == [("base", "src", 1, 3, 2), ("base", "tgt", 2, 3, 2), ("rev", "src", 2, 3, 2)]
+    with pytest.raises(Exception, match="not listed: rev"):
+        task_statistics(versions, ["base"]).collect()
