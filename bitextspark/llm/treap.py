@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bitextspark.llm.words import NOT_ALNUM, blocks, words
+from bitextspark.llm.words import NOT_ALNUM, blocks, bound_batches, words
 from bitextspark.scale import scratch_path
 
 #: An index block is closed once it has so many documents or bytes of text.
@@ -150,8 +150,10 @@ def write(docs: DataFrame, location: str, doc_id: str = "doc_id", text: str = "t
 
     Rows without a term (null, empty or only separators) are not in the index. A row with a null id
     is indexed and found as null. Rows with one id are documents of their own. Other columns are not
-    read.
+    read. A row of the index is a row group of its own: Parquet looks at a row group's size only after 100
+    rows, and a task holds the whole of the one that it writes or reads.
     """
+    bound_batches(docs.sparkSession)
     documents, terms = corpus_size(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +179,7 @@ def write(docs: DataFrame, location: str, doc_id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_pylist([_index_row(parts, documents, terms)], schema=_ARROW)
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    rows.mapInArrow(run, _INDEX).write.option("compression", "zstd").parquet(location)
+    rows.mapInArrow(run, _INDEX).write.options(**{"compression": "zstd", "parquet.block.row.count.limit": "1"}).parquet(location)
 
 
 @dataclass
@@ -343,6 +345,7 @@ def search(spark: SparkSession, location: str, items: DataFrame, k: int = 50, it
     without a term find nothing; a null id stays null; rows with one id are queries of their own.
     Documents rank by score, then by id (null last); only scores above 0 count.
     """
+    bound_batches(spark)
     index = spark.read.schema(_INDEX).parquet(location)
     head = index.select("documents").first()
     found: DataFrame | None = None

@@ -93,3 +93,13 @@ def test_term_names_follow_the_documented_words():
     names = treap._term_names(["A b", "a B b", None, "É", "é"])
     assert names[0].tolist() == names[1].tolist() and len(names[2]) == 0 and names[3].tolist() != names[4].tolist()
     assert len(pa.array(names[0])) == 2
+
+
+def test_an_index_row_is_a_row_group(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    docs = spark.range(3 * treap.COLUMNS, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("word " * 40), "id").alias("text"))
+    treap.write(docs, str(tmp_path / "index"))
+    found = [pq.ParquetFile(f).metadata for f in (tmp_path / "index").glob("*.parquet")]
+    sizes = [m.row_group(g).num_rows for m in found for g in range(m.num_row_groups)]
+    assert len(sizes) >= 2 and set(sizes) == {1}
