@@ -8,7 +8,7 @@ from bitextspark.functions import text as tx
 from bitextspark.operators import bilingual as bl
 from bitextspark.registry import inputs as inp
 from bitextspark.registry.base import query, view
-from bitextspark.scale import global_rank, materialise
+from bitextspark.scale import global_rank, stored
 
 
 def linked(spark, sf):
@@ -267,7 +267,7 @@ view(
 )
 def _(spark, sf):
     # Links are read twice, for the lexicon and for the replacement.
-    pairs = materialise(linked(spark, sf))
+    pairs = stored(linked(spark, sf), "linked")
     table = bl.lexical_table(bl.lexical_counts(pairs))
     entries = bl.rank_lexicon(bl.best_translations(table, row_no=None))
     made = bl.replace_words(pairs, entries, 0.3)
@@ -286,7 +286,7 @@ def _(spark, sf):
     "cp",
 )
 def _(spark, sf):
-    pairs = materialise(linked(spark, sf))
+    pairs = stored(linked(spark, sf), "linked")
     words = bl.rank_vocabulary(bl.target_vocabulary(bl.lexical_counts(pairs)))
     made = bl.replace_target_words(pairs, words, 0.3)
     return made.select("pair_id", tx.join_tokens(F.col("tgt_tok")).alias("tgt"))

@@ -177,3 +177,51 @@ def test_statistics_keep_one_row_a_word_whatever_the_number_of_tasks(spark):
     assert got == [("base", "src", 1, 3, 2), ("base", "tgt", 2, 3, 2), ("rev", "src", 2, 3, 2)]
     with pytest.raises(Exception, match="not listed: rev"):
         task_statistics(versions, ["base"]).collect()
+
+
+def test_rows_without_rare_tokens_are_not_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(k, ["a"] * 3, ["a", "zz"] if k == 3 else ["b"]) for k in range(6)], "pair_id int, s array<string>, t array<string>")
+    v = spark.createDataFrame([(4, "a"), (5, "b"), (900, "zz")], "id int, symbol string")
+    monkeypatch.setattr(scale, "LOOKUP_BYTES", 60)
+    out = vo.encode(df, v, ("pair_id",), {"x": "s", "y": "t"})
+    assert "Union" in plan_of(out)
+    assert sorted(map(tuple, out.collect())) == [(k, [4, 4, 4, 2], [4, 900, 2] if k == 3 else [5, 2]) for k in range(6)]
+
+
+def test_encoded_rows_are_written_where_they_are(spark, tmp_path):
+    from bitextspark.sources import tables as tb
+
+    rows = spark.range(40, numPartitions=4).select("id", F.lit("train").alias("split"), (F.col("id") % 2).alias("epoch"), F.lit("base").alias("task"))
+    tb.write_encoded(rows, str(tmp_path / "out"))
+    assert [len(list((tmp_path / f"out/split=train/epoch={e}/task=base").glob("*.parquet"))) for e in (0, 1)] == [4, 4]
+    assert tb.read_encoded(spark, str(tmp_path / "out")).count() == 40
+
+
+def test_linked_pairs_are_kept_as_a_table(spark):
+    for name in ("aux12_replace", "aux13_replace_target"):
+        plan = plan_of(entry.queries()[name](spark, SF))
+        assert "LogicalRDD" not in plan and "parquet" in plan
+
+
+def test_a_lexicon_beyond_the_bound_moves_only_rows_with_open_draws(spark, monkeypatch):
+    from bitextspark.operators import bilingual as bl
+
+    rows = [(k, [f"s{k}", "a", "b"], [f"t{k}", "x", "y", "z"], [(0, 0), (1, 2)]) for k in range(30)]
+    df = spark.createDataFrame(rows, "pair_id int, src_tok array<string>, tgt_tok array<string>, links array<struct<s:int,t:int>>")
+    best = spark.createDataFrame([(f"w{k:02d}", f"v{k}") for k in range(40)], "src string, tgt string")
+    made = lambda: bl.replace_words(df, bl.rank_lexicon(best), 0.3)
+    want = sorted(map(tuple, made().collect()))
+    monkeypatch.setattr(scale, "LOOKUP_BYTES", 1500)
+    monkeypatch.setattr(bl, "LOOKUP_BYTES", 1500)
+    out = made()
+    assert "Union" in plan_of(out) and sorted(map(tuple, out.collect())) == want
+
+
+def test_tokenised_texts_are_computed_before_the_cleaner_names_them(spark, tmp_path):
+    from bitextspark.operators.clean import clean_pairs
+    from bitextspark.plans.corpus import CorpusBuild, CorpusConfig
+
+    df = spark.createDataFrame([(1, "a b", "c d")], "pair_id long, src string, tgt string")
+    build = CorpusBuild(spark, df, CorpusConfig("en", "fr"), str(tmp_path))
+    plan = clean_pairs(build.tokenised())._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("regexp_replace(regexp_replace" in line for line in plan.split("\n") if "Filter" in line)
